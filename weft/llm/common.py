@@ -48,3 +48,18 @@ def native_words(text):
     spaces = " \t\n\x0b\x0c\r"
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(spaces))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Bounds what a Python worker holds at once: long texts come in batches of this many rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Few driver rows as a local relation, whose size the planner knows (it decides on a broadcast by that size)."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    into = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(into.names, r)) for r in rows], schema=into))

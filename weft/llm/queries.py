@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
-from .common import table
+from . import bpe, html_extract, language_id, license_scan, mixing, quality_rules, toxicity
+from .common import small_batches, table
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    small_batches(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    r = bpe.round_trip(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return d.select("doc_id", r.alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +60,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND NOT (n_words >= 50 AND n_ellipsis / greatest(n_lines, 1) > 0.5) AS kept
 FROM b"""
 
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.training_rows(d, table(spark, sf_dir, "labels")))
+    r = toxicity.graded(F.col("text"), model)
+    return d.select("doc_id", r.alias("r")).select("doc_id", F.col("r.severity").alias("score"), "r.severity", "r.grade", "r.toxic", "r.n_evidence")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    return mixing.mixed(d).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language_id.fit(language_id.training_rows(d.where(~held_out)))
+    r = language_id.predicted(F.col("text"), model)
+    return d.select("doc_id", held_out.alias("held_out"), r.alias("r")).select("doc_id", "held_out", F.col("r.lang").alias("lang_pred"), "r.score", "r.rejected")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", license_scan.scanned(F.col("text")).alias("r")).select("doc_id", "r.*")
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return p.select("page_id", "url", html_extract.extracted(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op4_toxicity": op4_toxicity,
+    "op5_mixing": op5_mixing,
+    "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
+    "op9_html_extraction": op9_html_extraction,
     "op2_quality_rules": op2_quality_rules,
 }
 
