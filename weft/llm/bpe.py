@@ -218,3 +218,16 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run(text)
+
+
+def tokenised(text: Column, path: str, pattern: str) -> Column:
+    """Struct (ids, n_tokens, decodes) of a text column; decodes tells whether the ids give the text's bytes back."""
+
+    @F.pandas_udf("ids array<int>, n_tokens bigint, decodes boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = loaded(path, pattern)
+        for texts in batches:
+            rows = [(ids := bpe.encode(t), len(ids), bpe.decode(ids) == (t or "").encode("utf-8")) for t in texts]
+            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decodes"])
+
+    return run(text)

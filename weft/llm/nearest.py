@@ -29,10 +29,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TABLES = 8
+TABLES = 12
 HASHES = 8
-WIDTH = 1.0  # of the typical distance to a near neighbour
-PROBES = 600
+WIDTH = 1.5  # of the typical distance to a near neighbour
+PROBES = 2000
 BLOCK = 8192
 QUERY_BLOCK = 8192
 SAMPLE = 2000

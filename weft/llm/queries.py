@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, language_id, license_scan, mixing, quality_rules, toxicity
+from . import bpe, html_extract, language_id, license_scan, mixing, nearest, ngram_join, quality_rules, secret_scan, toxicity
 from .common import small_batches, table
 
 
@@ -61,6 +61,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.neighbours(v, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -74,6 +79,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(d).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.findings(d, secret_scan.trained(spark))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -95,6 +105,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "url", html_extract.extracted(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, num=90, den=100)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_toxicity": op4_toxicity,
@@ -102,6 +116,9 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
     "op9_html_extraction": op9_html_extraction,
+    "op10_ngram_join": op10_ngram_join,
+    "op3_nearest": op3_nearest,
+    "op6_secret_scan": op6_secret_scan,
     "op2_quality_rules": op2_quality_rules,
 }
 
