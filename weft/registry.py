@@ -1,4 +1,29 @@
-"""All queries of the reference-side operators with their DuckDB SQL, by key."""
+"""All queries of the engine with their DuckDB SQL, by key."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under a key, with its SQL where SQL expresses it."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    from weft.plans import analysis, catalog, dataflow, search, sources, summaries  # noqa: F401
+
+
+load()

@@ -26,3 +26,12 @@ def session(app: str = "weft", cores: str = "*", shuffle_partitions: int = 8) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the provided tables; the path is left to Spark's own readers."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage ended by a checkpoint in the shared folder that the session names (one is set for local
+    runs that have none): loops keep short plans and survive lost executors."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/weft-graph")
+    return df.checkpoint()
