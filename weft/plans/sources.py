@@ -88,6 +88,38 @@ def session_executes(spark, d):
     return informatica.edges(informatica.elements(spark, SAMPLES)).where("relation = 'executes'")
 
 
+@query("conmgr_scan", "SELECT * FROM (VALUES ('connection:Staging', 'Staging', 'OLEDB', 'Data Source=stg01;Initial Catalog=stage;Provider=SQLNCLI11;')) AS t(id, name, native_type, body)")
+def conmgr_scan(spark, d):
+    e = ssis.elements(spark, SAMPLES)
+    return e.where(F.col("file").endswith(".conmgr")).select("id", "name", "native_type", "body")
+
+
+@query("params_scan", "SELECT * FROM (VALUES ('parameter:Region', 'Region', 'EU')) AS t(id, name, value)")
+def params_scan(spark, d):
+    e = ssis.elements(spark, SAMPLES)
+    return e.where(F.col("file").endswith(".params")).select("id", "name", F.col("body").alias("value"))
+
+
+@query("exec_sql_lineage", "SELECT * FROM (VALUES ('pipeline:LoadOrders:operation:Truncate', 'table:stg.orders', 'writes_to')) AS t(src, dst, relation)")
+def exec_sql_lineage(spark, d):
+    e = ssis.elements(spark, SAMPLES).where("kind = 'operation' AND body IS NOT NULL")
+    return ssis.sql_edges(e.select(F.col("id").alias("parent_id"), "body"))
+
+
+@query("infa_generic")
+def infa_generic(spark, d):
+    known = ["Source Definition", "Target Definition", "Source Qualifier", "Expression", "Filter", "Aggregator", "Sorter", "Joiner", "Lookup Procedure", "Router", "Union", "Sequence", "Update Strategy", "Normalizer", "Rank"]
+    return informatica.elements(spark, SAMPLES).where(F.col("kind").isin("instance", "transformation") & ~F.col("native_type").isin(*known)).select("id", "name", "native_type")
+
+
+@query("infa_pairing")
+def infa_pairing(spark, d):
+    """Each session's mapping file: the first file, by path, that defines the mapping."""
+    e = informatica.elements(spark, SAMPLES)
+    home = e.where("kind = 'mapping'").groupBy("name").agg(F.min(F.substring_index("file", "/", -1)).alias("mapping_file"))
+    return e.where("kind = 'session'").select(F.col("name").alias("session"), F.col("body").alias("name")).join(home, "name", "left").select("session", F.col("name").alias("mapping"), "mapping_file")
+
+
 @query("par_scan", "SELECT * FROM (VALUES ('SOURCE_DB', 'ora1'), ('DATE', '2024-01-01')) AS t(key, value)")
 def par_scan(spark, d):
     return kvfiles.parameters(spark, SAMPLES).select("key", "value")
