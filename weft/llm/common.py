@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +51,18 @@ def native_words(text):
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if they have that folder too. On a
+    cluster without it the submitter ships the package (--py-files)."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [x for x in env.get("PYTHONPATH", "").split(":") if x]
+    if root not in known:
+        env["PYTHONPATH"] = ":".join([*known, root])
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bounds what a Python worker holds at once: long texts come in batches of this many rows."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import importable
+
 TABLES = 12
 HASHES = 8
 WIDTH = 1.5  # of the typical distance to a near neighbour
@@ -138,6 +140,7 @@ def near_distance(sample: np.ndarray, k: int) -> float:
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row that is_query marks."""
     spark = vectors.sparkSession
+    importable(spark)
     rows = vectors.where(F.col(key).isNotNull() & valid(F.col(vector))).select(
         F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")
     )
