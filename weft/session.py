@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if they have that folder too."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = [x for x in env.get("PYTHONPATH", "").split(":") if x]
+    if root not in known:
+        env["PYTHONPATH"] = ":".join([*known, root])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage ended by a checkpoint in the shared folder that the session names (one is set for local
     runs that have none): loops keep short plans and survive lost executors."""

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.session import importable
+
 ELEMENTS = "file string, package_id string, kind string, id string, parent_id string, name string, native_type string, body string, props map<string,string>, seq int"
 
 # Class ids of data-flow components, by name.
@@ -160,6 +162,7 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """Files below a path whose names match a glob."""
+    importable(spark)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
 
