@@ -9,7 +9,8 @@ K = (den - num) * (a + b) / (den + num).
    link with, so every linked pair signs together in the larger one's band. There K is at most k; the feature domain
    is dealt by hash to N1 groups of N2 partitions, N1 = ceil((k + 1) / (K2 + 1)), so that some group holds at most K2
    of the differing features, and of its partitions some N2 - K2 hold none: each group signs with every such subset
-   of its partitions (PARTITIONS = N2, SPARED = K2), and linked sets share a signature.
+   of its partitions (N2 = partitions, 3 by default; K2 = SPARED = 1), and linked sets share a signature. Two partitions make
+   a third fewer signatures than three, each on fewer features.
 3. Buckets of equal signatures are never expanded into pairs. Each bucket has a leader, the member with the most
    company over all its buckets, and every member is compared with its leaders only (exact, on whole sets).
 4. What stars around leaders c cannot see: links between x and y in one bucket when y is not linked to c. With
@@ -40,7 +41,7 @@ from .common import dropped, small_batches, written
 
 PARTITIONS = 3
 SPARED = 1
-BAND = 1.35
+BAND = 1.6
 
 _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,9 +102,10 @@ def shingles(text: str | None, n: int = 3) -> np.ndarray:
 class Bands:
     """Bands of sizes and their partition numbers for a threshold num / den."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, partitions: int = PARTITIONS):
+        self.num, self.den, self.partitions = num, den, partitions
         self.highs = [1]
+        self.subsets = list(combinations(range(partitions), partitions - SPARED))
 
     def band(self, size: int) -> int:
         while self.highs[-1] < size:
@@ -120,9 +122,6 @@ class Bands:
         return -(-(k + 1) // (SPARED + 1)) if k else 0
 
 
-_SUBSETS = list(combinations(range(PARTITIONS), PARTITIONS - SPARED))
-
-
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     """Signatures (int64) of a set; for k = 0 the whole set signs, which copies alone share."""
     out = []
@@ -131,12 +130,12 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         groups = bands.groups(band)
         if not groups:
             continue  # differing sets cannot link here, and equal ones are one class
-        part = (_mix(s ^ _ORDER[9]) % np.uint64(groups * PARTITIONS)).astype(np.int64)
-        sums = np.zeros(groups * PARTITIONS, dtype=np.uint64)
+        part = (_mix(s ^ _ORDER[9]) % np.uint64(groups * bands.partitions)).astype(np.int64)
+        sums = np.zeros(groups * bands.partitions, dtype=np.uint64)
         np.add.at(sums, part, weight)
-        sums = _mix(sums.reshape(groups, PARTITIONS) + _ORDER[10])
+        sums = _mix(sums.reshape(groups, bands.partitions) + _ORDER[10])
         tag = np.arange(groups, dtype=np.uint64) * _ORDER[11] + np.full(groups, _times(band, 12))
-        for k, subset in enumerate(_SUBSETS):
+        for k, subset in enumerate(bands.subsets):
             x = tag + np.full(groups, _times(k, 13))
             for i in subset:
                 x = x + sums[:, i] * _ORDER[16 + i]
@@ -144,17 +143,26 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
-def _profiles(words: int, num: int, den: int):
+def _profiles(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bands = Bands(num, den)
         for b in batches:
             rows = []
             for key, text in zip(b["k"], b["t"]):
                 s = shingles(text, words)
                 d = np.array([_mix(s + _ORDER[14]).sum(dtype=np.uint64), _mix(s ^ _ORDER[15]).sum(dtype=np.uint64)], dtype=np.uint64).view(np.int64)
-                rows.append((key, len(s), d[0], d[1], signatures(s, bands)))
-            out = pd.DataFrame(rows, columns=["k", "n", "d1", "d2", "sigs"])
-            yield out.astype({"k": "Int64", "n": "int64", "d1": "int64", "d2": "int64"})
+                rows.append((key, len(s), d[0], d[1]))
+            yield pd.DataFrame(rows, columns=["k", "n", "d1", "d2"]).astype({"k": "Int64", "n": "int64", "d1": "int64", "d2": "int64"})
+
+    return run
+
+
+def _signed(words: int, num: int, den: int, partitions: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bands = Bands(num, den, partitions)
+        for b in batches:
+            sigs = [signatures(shingles(t, words), bands) for t in b["t"]]
+            if sigs:
+                yield pd.DataFrame({"v": np.repeat(b["k"].to_numpy(), [len(x) for x in sigs]), "sig": np.concatenate(sigs)})
 
     return run
 
@@ -209,13 +217,14 @@ def _least_common(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil(num * (a + b) / (num + den)).cast("bigint")
 
 
-def links(docs: DataFrame, profiles: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(classes: d1, d2, v, n), (edges u, v between classes whose links connect all that is linked)."""
-    full = written(profiles.where("n > 0").groupBy("d1", "d2").agg(F.min("k").alias("v"), F.first("n").alias("n"), F.first("sigs").alias("sigs")), "classes")
-    classes = full.select("d1", "d2", "v", "n")
-    signed = full.where(F.col("v").isNotNull()).select("v", F.explode("sigs").alias("sig"))
+def links(docs: DataFrame, profiles: DataFrame, words: int, num: int, den: int, partitions: int = PARTITIONS) -> tuple[DataFrame, DataFrame]:
+    """(classes: d1, d2, v), (edges u, v between classes whose links connect all that is linked)."""
+    classes = written(profiles.where("n > 0").groupBy("d1", "d2").agg(F.min("k").alias("v")), "classes")
+    named = classes.where("v IS NOT NULL").select(F.col("v").alias("k")).distinct()
+    signed = written(docs.join(named.hint("shuffle_hash"), "k").mapInPandas(_signed(words, num, den, partitions), "v bigint, sig bigint"), "signed")
     shared = signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
     met = written(signed.join(shared, "sig").select("sig", "v", "c"), "buckets")
+    dropped(signed)
     company = met.groupBy("v").agg(F.sum("c").alias("company"))
     met2 = met.join(company, "v")
     leader = met2.groupBy("sig").agg(F.max(F.struct("company", (-F.col("v")).alias("v"))).alias("l")).select("sig", (-F.col("l.v")).alias("c"))
@@ -282,12 +291,12 @@ def _beyond_stars(compared: DataFrame, num: int, den: int) -> DataFrame:
     return ends.where(den * common >= num * (F.col("a") + F.col("b") - common)).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100, partitions: int = PARTITIONS) -> DataFrame:
     """(key, n_shingles, component_id) for each row of docs."""
     small_batches(docs.sparkSession, 256)
     docs = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"))
-    profiles = written(docs.mapInPandas(_profiles(words, num, den), "k bigint, n bigint, d1 bigint, d2 bigint, sigs array<bigint>"), "profiles")
-    classes, edges = links(docs, profiles, words, num, den)
+    profiles = written(docs.mapInPandas(_profiles(words), "k bigint, n bigint, d1 bigint, d2 bigint"), "profiles")
+    classes, edges = links(docs, profiles, words, num, den, partitions)
     labels = linked_components(edges)
     named = classes.join(labels, "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("component"), F.lit(True).alias("set"))
     named = written(named, "named")
