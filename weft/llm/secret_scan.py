@@ -39,20 +39,20 @@ _PARTS, _FOUND = "__weft_parts", "__weft_found"
 
 # Formats of known credentials, names that announce one, and how a value is assigned to such a name.
 KNOWN = [
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]{0,20000}?-----END [A-Z ]{0,20}PRIVATE KEY-----",
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,20}PRIVATE KEY-----",
     r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
-    r"gh[pousr]_[A-Za-z0-9]{20,255}",
-    r"glpat-[A-Za-z0-9_-]{20,64}",
-    r"xox[abprs]-[A-Za-z0-9-]{10,200}",
-    r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,200}",
-    r"AIza[0-9A-Za-z_-]{35}",
+    r"gh[pousr]_[A-Za-z0-9]{20,}+",
+    r"glpat-[A-Za-z0-9_-]{20,}+",
+    r"xox[abprs]-[A-Za-z0-9-]{10,}+",
+    r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+",
+    r"AIza[0-9A-Za-z_-]{35,}+",
     r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 ]
 NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth[_-]?key|credential|bearer"
 ASSIGN = rf"(?i:{NAMES})[A-Za-z_]{{0,16}}[\"']?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"']?"
 CANDIDATE = (
     "(?<![A-Za-z0-9_])(?:" + "|".join(KNOWN) + ")"
-    rf"|{ASSIGN}[^\s\"',;<>(){{}}\[\]]{{6,512}}"
+    rf"|{ASSIGN}[^\s\"',;<>(){{}}\[\]]{{6,}}+"
     r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{20,}+"
 )
 BAD_WORDS = r"commit|sha-?\d*|md5|checksum|digest|revision|uuid|guid|integrity|etag|example|sample|dummy|placeholder|order|invoice|isbn|phone|card|hash|version|build|image|color"
