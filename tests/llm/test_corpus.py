@@ -143,6 +143,15 @@ def test_mix_keeps_its_promises(spark):
     assert mixing.mixed(df.where("false")).count() == 0
 
 
+def test_small_sources_beside_a_very_large_one(spark):
+    big = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("big").alias("source"), F.lit(5_000_000).cast("long").alias("size"))
+    small = spark.createDataFrame([(1000 + i, s, 100) for s, n in (("small", 10), ("small2", 15)) for i in range(n)], "doc_id long, source string, size long")
+    out = mixing.mixed(big.unionByName(small)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    got = {r["source"]: (r["taken"], r["target"]) for r in out}
+    assert got["small"][1] == 2000 and got["small2"][1] == 3000
+    assert all(abs(taken - target) <= max(mixing.BLOCK_WORDS, 1e-3 * target) for taken, target in got.values())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

@@ -32,7 +32,6 @@ PATTERN = (3, 1, 2)
 SHARE = Fraction(3, 2)
 CAP = 2
 BLOCK_WORDS = 256
-BLOCKS = 1_000_000
 SHARD_WORDS = 1 << 20
 SHARDS = 20_000
 SEED = 5
@@ -121,12 +120,11 @@ def mixed(sized: DataFrame, key: str = "doc_id", pattern: tuple[int, ...] = PATT
     )
     lines = sorted((r["no"], r["shard"], r["line"]) for r in placed.groupBy("no", "shard").agg(F.sum("size").alias("line")).collect())
 
-    block = max(BLOCK_WORDS, -(-total // BLOCKS))
     own: dict[int, list[tuple[int, int, int]]] = {}
     for no, shard, line in lines:
-        own.setdefault(no, []).append((shard, line, max(1, round(line / block)) if line else 0))
+        own.setdefault(no, []).append((shard, line, max(1, round(line / BLOCK_WORDS)) if line else 0))
     most = [cap * sum(n for *_, n in own.get(i, [])) for i in range(len(sources))]
-    seats = apportioned(goals, round(math.fsum(goals) / block), most)
+    seats = apportioned(goals, round(math.fsum(goals) / BLOCK_WORDS), most)
     quotas = []
     for no, parts in own.items():
         each = apportioned([float(line) for _, line, _ in parts], seats[no], [cap * n for *_, n in parts])
