@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weft import registry
 from weft.functions import codegen
 from weft.functions.sql_semantics import semantics
 from weft.operators import dataflow as op
@@ -100,3 +101,18 @@ def test_semantics_and_generated_code(spark):
     assert semantics(spark, "not sql at all (") is None
     with pytest.raises(ValueError):
         codegen.generate(s, "snowflake")
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_merge_join_of_all_customers_against_brute_force(spark, how):
+    keys = lambda name, k, n, m: [(r[0], r[1] if r[1] % m else None) for r in spark.read.parquet(f"{SF}/{name}.parquet").select(k, n).collect()]
+    suppliers, customers = keys("supplier", "s_suppkey", "s_nationkey", 5), keys("customer", "c_custkey", "c_nationkey", 7)
+    want = [(s, c) for s, a in suppliers for c, b in customers if a == b]
+    if how == "left":
+        want += [(s, None) for s, a in suppliers if a not in {b for _, b in customers}]
+    order = lambda r: (r[0], r[1] is not None, r[1] or 0)
+    got = [tuple(r) for r in registry.QUERIES[f"merge_join_{how}_all"](spark, SF).collect()]
+    assert sorted(got, key=order) == sorted(want, key=order)

@@ -144,6 +144,17 @@ for _how, _sql in (("left", "LEFT JOIN"), ("inner", "JOIN")):
         return op.merge_join(left, right, [("a", "b")], how).select("s_suppkey", "c_custkey")
 
 
+# All customers; merge_join_left and merge_join_inner, whose SQL is fixed, take every twentieth only.
+for _how, _sql in (("left", "LEFT JOIN"), ("inner", "JOIN")):
+
+    @query(f"merge_join_{_how}_all", f"SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 5 > 0 THEN s_nationkey END AS a FROM supplier) {_sql} (SELECT c_custkey, CASE WHEN c_nationkey % 7 > 0 THEN c_nationkey END AS b FROM customer) ON a IS NOT DISTINCT FROM b")
+    def _merge_join_all(spark, d, how=_how):
+        s, c = _t(spark, d, "supplier", "customer")
+        left = s.select("s_suppkey", F.when(F.col("s_nationkey") % 5 > 0, F.col("s_nationkey")).alias("a"))
+        right = c.select("c_custkey", F.when(F.col("c_nationkey") % 7 > 0, F.col("c_nationkey")).alias("b"))
+        return op.merge_join(left, right, [("a", "b")], how).select("s_suppkey", "c_custkey")
+
+
 @query("infa_aggregator", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice * (1 - l_discount)) AS revenue, avg(l_discount) AS avg_disc, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def infa_aggregator(spark, d):
     return _t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
