@@ -1,5 +1,7 @@
 """Behaviour that the oracle tables do not show: cycles, disposition, metamorphic checks, sources, semantics."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,35 @@ def test_merge_join_of_all_customers_against_brute_force(spark, how):
     order = lambda r: (r[0], r[1] is not None, r[1] or 0)
     got = [tuple(r) for r in registry.QUERIES[f"merge_join_{how}_all"](spark, SF).collect()]
     assert sorted(got, key=order) == sorted(want, key=order)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def alike(a, b):
+    x, y = a.strip(" ").lower(), b.strip(" ").lower()
+    return round(1 - edits(x, y) / max(len(x), len(y), 1), 6)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.7, 0.85, 1.0])
+def test_similar_pairs_miss_nothing(spark, least):
+    r = random.Random(7)
+    words = ["", " ", "a", "B", "ab", "éa"] + ["".join(r.choice("abC ") for _ in range(r.randrange(1, 14))) for _ in range(150)]
+    other = ["", "b", "aé"] + ["".join(r.choice("abc ") for _ in range(r.randrange(1, 14))) for _ in range(150)]
+    frame = lambda v: spark.createDataFrame([(x,) for x in [*v, None]], "v string")
+    got = {(x["a"], x["b"]): x["similarity"] for x in op.similar_pairs(frame(words), frame(other), least).collect()}
+    assert got == {(a, b): alike(a, b) for a in words for b in other if alike(a, b) >= least}
+
+
+def test_fuzzy_grouping_joins_names_with_their_edited_copies(spark):
+    got = {x["value"]: x["canonical"] for x in registry.QUERIES["fuzzy_grouping_all"](spark, SF).collect()}
+    root = {v: v for v in got}
+    for _ in got:
+        root = {a: min(root[b] for b in got if alike(a, b) >= 0.6) for a in got}
+    assert got == root and got["NATION_0"] == got["NETION_0"] and len(got) == 50

@@ -127,6 +127,42 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
 
 
+def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of the distinct values in left's only column and right's only column that are at least this
+    similar (0 < least <= 1), exactly; null is similar to nothing.
+
+    Within t edits, one of t + 1 consecutive pieces of the longer string stands unchanged in the shorter one, at most t
+    places away. The longer string of a pair gives its length and the similarity the greatest t, so pairs that share
+    (length, number of the piece, piece) are all that need comparing.
+    """
+    far = f"CAST(floor(n * {1 - least + 1e-6!r} + 1e-9) AS INT)"  # with room for rounding; candidates are compared below
+
+    def values(df: DataFrame) -> DataFrame:
+        v = df.select(F.col(df.columns[0]).alias("v")).where("v IS NOT NULL").distinct()
+        return v.withColumn("x", F.lower(F.trim("v"))).withColumn("own", F.length("x"))
+
+    def pieces(df: DataFrame) -> DataFrame:
+        cut = df.withColumn("n", F.col("own")).withColumn("t", F.expr(far)).withColumn("i", F.explode(F.expr("sequence(0, t)")))
+        cut = cut.withColumn("at", F.expr("CAST(i * n DIV (t + 1) AS INT)")).withColumn("end", F.expr("CAST((i + 1) * n DIV (t + 1) AS INT)"))
+        return cut.select("v", "n", "i", F.expr("substring(x, at + 1, end - at)").alias("piece"))
+
+    def places(df: DataFrame) -> DataFrame:
+        longest = f"CAST(floor(own / {least - 1e-6!r}) AS INT) + 1"
+        cut = df.withColumn("n", F.explode(F.expr(f"sequence(own, {longest})"))).withColumn("t", F.expr(far)).where("n - own <= t")
+        cut = cut.withColumn("i", F.explode(F.expr("sequence(0, t)")))
+        cut = cut.withColumn("at", F.expr("CAST(i * n DIV (t + 1) AS INT)")).withColumn("size", F.expr("CAST((i + 1) * n DIV (t + 1) AS INT) - at"))
+        cut = cut.withColumn("from", F.greatest(F.expr("at - t"), F.lit(0))).withColumn("to", F.least(F.expr("at + t"), F.expr("own - size"))).where("`from` <= `to`")
+        found = F.expr("array_distinct(transform(sequence(`from`, `to`), p -> substring(x, p + 1, size)))")
+        return cut.select("v", "n", "i", F.explode(found).alias("piece"))
+
+    a, b = values(left), values(right)
+    on = ["n", "i", "piece"]
+    longer = pieces(a).withColumnRenamed("v", "a").join(places(b).withColumnRenamed("v", "b"), on).select("a", "b")
+    shorter = places(a).withColumnRenamed("v", "a").join(pieces(b).withColumnRenamed("v", "b"), on).select("a", "b")
+    pairs = longer.unionByName(shorter).distinct()
+    return pairs.withColumn("similarity", F.round(similarity(F.col("a"), F.col("b")), 6)).where(F.col("similarity") >= least)
+
+
 def fuzzy_lookup(df: DataFrame, reference: DataFrame, key: str, column: str, ref_column: str, least: float = 0.7) -> DataFrame:
     """Best match of at least this similarity among reference values that share a token; ties to the smaller value."""
     tokens = lambda c: F.explode(F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+")))

@@ -342,3 +342,16 @@ def fuzzy_grouping(spark, d):
     a, b = v.select(F.col("v").alias("src"), block("v").alias("k")), v.select(F.col("v").alias("dst"), block("v").alias("k"))
     edges = a.join(b, "k").where(op.similarity(F.col("src"), F.col("dst")) >= 0.6).select("src", "dst")
     return graph.components(edges).select(F.col("node").alias("value"), F.col("component").alias("canonical"))
+
+
+# Every pair of names, in SQL too; fuzzy_grouping, whose SQL is fixed, compares names of the same first two letters only.
+@query("fuzzy_grouping_all", """
+WITH RECURSIVE v AS (SELECT DISTINCT n_name AS v FROM nation UNION SELECT DISTINCT replace(n_name, 'A', 'E') FROM nation),
+e AS (SELECT a.v AS a, b.v AS b FROM v a CROSS JOIN v b WHERE 1 - levenshtein(lower(a.v), lower(b.v)) / CAST(greatest(length(a.v), length(b.v)) AS DOUBLE) >= 0.6),
+w(v, c) AS (SELECT v, v FROM v UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.v AND e.b > w.c)
+SELECT v AS value, min(c) AS canonical FROM w GROUP BY 1""")
+def fuzzy_grouping_all(spark, d):
+    n = _t(spark, d, "nation")
+    v = n.select(F.col("n_name").alias("v")).unionByName(n.select(F.expr("replace(n_name, 'A', 'E')").alias("v")))
+    edges = op.similar_pairs(v, v, 0.6).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return graph.components(edges).select(F.col("node").alias("value"), F.col("component").alias("canonical"))
