@@ -144,6 +144,17 @@ def test_similar_pairs_miss_nothing(spark, least):
     assert got == {(a, b): alike(a, b) for a in words for b in other if alike(a, b) >= least}
 
 
+def test_fuzzy_lookup_of_all_parts_against_brute_force(spark):
+    names = [x[0] for x in spark.read.parquet(f"{SF}/part.parquet").select("p_name").collect()]
+    got = registry.QUERIES["fuzzy_lookup_all"](spark, SF).collect()
+    best = {}
+    for n in {n.replace("a", "e") for n in names}:
+        hits = sorted((-alike(n, v), v) for v in set(names) if alike(n, v) >= 0.7)
+        best[n] = (hits[0][1], -hits[0][0]) if hits else (None, None)
+    assert len(got) == len(names) and all((x["match_value"], x["similarity"]) == best[x["p_name"]] for x in got)
+    assert best["smell geer"][0] == "small gear"
+
+
 def test_fuzzy_grouping_joins_names_with_their_edited_copies(spark):
     got = {x["value"]: x["canonical"] for x in registry.QUERIES["fuzzy_grouping_all"](spark, SF).collect()}
     root = {v: v for v in got}

@@ -327,7 +327,21 @@ SELECT src.p_partkey, src.p_name, k.v AS match_value, k.s AS similarity FROM src
 def fuzzy_lookup(spark, d):
     p = _t(spark, d, "part")
     src = p.where("p_partkey % 3 = 0").select("p_partkey", F.expr("replace(p_name, 'a', 'e')").alias("p_name"))
-    return op.fuzzy_lookup(src, p.where("p_partkey % 7 = 0"), "p_partkey", "p_name", "p_name")
+    return op.fuzzy_lookup(src, p.where("p_partkey % 7 = 0"), "p_name", "p_name", token=True)
+
+
+# All parts against all reference names, with SQL that compares every pair; fuzzy_lookup, whose SQL is fixed, takes parts
+# and reference names by their keys and compares names that share a token only.
+@query("fuzzy_lookup_all", """
+WITH ref AS (SELECT DISTINCT p_name AS v FROM part),
+src AS (SELECT p_partkey, replace(p_name, 'a', 'e') AS p_name FROM part),
+p AS (SELECT p_name, v, round(1 - levenshtein(lower(trim(p_name)), lower(trim(v))) / CAST(greatest(length(trim(p_name)), length(trim(v)), 1) AS DOUBLE), 6) AS s FROM (SELECT DISTINCT p_name FROM src) CROSS JOIN ref),
+k AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY s DESC, v) AS r FROM p WHERE s >= 0.7)
+SELECT src.p_partkey, src.p_name, k.v AS match_value, k.s AS similarity FROM src LEFT JOIN k ON src.p_name = k.p_name AND r = 1""")
+def fuzzy_lookup_all(spark, d):
+    p = _t(spark, d, "part")
+    src = p.select("p_partkey", F.expr("replace(p_name, 'a', 'e')").alias("p_name"))
+    return op.fuzzy_lookup(src, p, "p_name", "p_name")
 
 
 @query("fuzzy_grouping", """
