@@ -10,6 +10,7 @@ from weft.functions import codegen
 from weft.functions.sql_semantics import semantics
 from weft.operators import dataflow as op
 from weft.operators import graph
+from weft.plans import star
 from weft.plans.sources import SAMPLES
 from weft.sources import informatica, ssis
 
@@ -161,3 +162,21 @@ def test_fuzzy_grouping_joins_names_with_their_edited_copies(spark):
     for _ in got:
         root = {a: min(root[b] for b in got if alike(a, b) >= 0.6) for a in got}
     assert got == root and got["NATION_0"] == got["NETION_0"] and len(got) == 50
+
+
+def test_whole_graph_has_the_edges_of_all_lines(spark):
+    from collections import defaultdict
+
+    read = lambda name, *columns: [tuple(r) for r in spark.read.parquet(f"{SF}/{name}.parquet").select(*columns).collect()]
+    nation = dict(read("nation", "n_nationkey", "n_name"))
+    supplier = {k: (f"pipeline:{nation[n]}", f"pipeline:{nation[n]}:operation:{s}") for k, s, n in read("supplier", "s_suppkey", "s_name", "s_nationkey")}
+    priority, brand = dict(read("orders", "o_orderkey", "o_orderpriority")), dict(read("part", "p_partkey", "p_brand"))
+    want, packages = {(p, o, "contains") for p, o in supplier.values()}, defaultdict(set)
+    for order, part, supp, flag in read("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"):
+        package, operation = supplier[supp]
+        want |= {(operation, f"table:{part}", "writes_to" if flag == "A" else "reads_from"), (operation, f"connection:{priority[order]}", "uses_connection"), (operation, f"parameter:{brand[part]}", "uses_parameter")}
+        packages[f"table:{part}"].add(package)
+    got = [tuple(r) for r in star.whole(star.edges)(spark, SF).select("src", "dst", "relation").collect()]
+    assert len(got) == len(want) and set(got) == want
+    shared = {r["table_id"]: r["package_count"] for r in registry.QUERIES["shared_tables_all"](spark, SF).collect()}
+    assert shared == {t: len(p) for t, p in packages.items() if len(p) > 1}

@@ -3,6 +3,9 @@ read and write parts (tables), use order priorities (connections) and brands (pa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,32 @@ def sql(body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{GRAPH_SQL.strip()}{body}"
 
 
+_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+def whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query f over the edges of all lineitem rows and of all parts' brands."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        before = _WHOLE.set(True)
+        try:
+            return f(spark, d)
+        finally:
+            _WHOLE.reset(before)
+
+    return run
+
+
+def whole_sql(text: str) -> str:
+    """SQL made by sql(), over the same edges as whole()."""
+    return text.replace("lineitem WHERE l_quantity >= 50)", "lineitem)").replace("ON l_partkey = p_partkey WHERE p_size <= 5)", "ON l_partkey = p_partkey)")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return li if _WHOLE.get() else li.where(F.col("l_quantity") >= LEAST_QUANTITY)
+
+
 def _operations(spark: SparkSession, d: str) -> DataFrame:
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     package = F.concat(F.lit("pipeline:"), "n_name")
@@ -50,7 +79,7 @@ def _operations(spark: SparkSession, d: str) -> DataFrame:
 
 def raw_edges(spark: SparkSession, d: str) -> DataFrame:
     """Reads and writes one by one, in write order (seq)."""
-    li = table(spark, d, "lineitem").where(F.col("l_quantity") >= LEAST_QUANTITY)
+    li = _lines(spark, d)
     op = _operations(spark, d)
     return li.join(op, li["l_suppkey"] == op["s_suppkey"]).select(
         F.col("operation_id").alias("src"),
@@ -61,7 +90,7 @@ def raw_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where(F.col("l_quantity") >= LEAST_QUANTITY)
+    li = _lines(spark, d)
     op, orders, part = _operations(spark, d), table(spark, d, "orders"), table(spark, d, "part")
     used = li.join(op, li["l_suppkey"] == op["s_suppkey"])
     zero = F.lit(0).cast("bigint")
@@ -69,7 +98,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     connections = used.join(orders, used["l_orderkey"] == orders["o_orderkey"]).select(
         F.col("operation_id").alias("src"), F.concat(F.lit("connection:"), "o_orderpriority").alias("dst"), F.lit("uses_connection").alias("relation"), zero.alias("seq")
     )
-    parameters = used.join(part.where("p_size <= 5"), used["l_partkey"] == part["p_partkey"]).select(
+    parameters = used.join(part if _WHOLE.get() else part.where("p_size <= 5"), used["l_partkey"] == part["p_partkey"]).select(
         F.col("operation_id").alias("src"), F.concat(F.lit("parameter:"), "p_brand").alias("dst"), F.lit("uses_parameter").alias("relation"), zero.alias("seq")
     )
     io = raw_edges(spark, d).groupBy("src", "dst", "relation").agg(F.max("seq").alias("seq"))

@@ -1,0 +1,18 @@
+"""The queries on the derived graph's edges again, over the edges of all lineitem rows and of all parts.
+
+The queries without `_all`, whose SQL is fixed, take lineitem rows of the highest quantity and parameters of small parts.
+"""
+
+from __future__ import annotations
+
+from weft.plans import analysis, sources, star  # noqa: F401
+from weft.registry import ORACLE_SQL, QUERIES, query
+
+ON_EDGES = """shared_tables graph_upsert_lastwins semantic_edges orphan_edges op_table_usage op_sources_dests operation_context
+    shared_connections shared_parameters data_dependencies shares_resource_pairs cross_package_edges resource_contention
+    package_properties execution_levels execution_priority pipeline_io impact_downstream mv_lineage mv_dependencies
+    mv_shared_resources mv_summary_stats graph_counts mv_complexity graph_readiness analysis_summary degree density
+    jaccard_similarity pagerank components export_node_link enrich_nodes enrich_edges""".split()
+
+for _name in ON_EDGES:
+    query(f"{_name}_all", star.whole_sql(ORACLE_SQL[_name]) if _name in ORACLE_SQL else None)(star.whole(QUERIES[_name]))

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from weft.plans import analysis, catalog, dataflow, search, sources, summaries  # noqa: F401
+    from weft.plans import analysis, catalog, dataflow, search, sources, summaries, whole  # noqa: F401
 
 
 load()
