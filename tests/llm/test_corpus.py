@@ -170,3 +170,18 @@ def test_pipeline_stages(spark):
         if name == "mixing":
             assert max(r["count"] for r in docs.groupBy("doc_id").count().collect()) <= 2
     assert docs.where("NOT decodes").count() == 0 and docs.count() > 0
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    import corpus_pipeline as p
+
+    line = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
+    near = lambda name: line(name) + " end"
+    rows = [(1, line("a")), (2, line("a")), (2, line("b")), (2, line("b")), (3, line("c")), (3, line("d", 60)), (4, near("c"))]
+    rows += [(None, near("d")), (None, line("e")), (None, near("e")), (5, ""), (5, "")]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, source string")
+    got = [(r["doc_id"], r["text"]) for r in p.drop_near_duplicates(spark, df, SF).select("doc_id", "text").collect()]
+    fixed = [(1, line("a")), (2, line("b")), (3, line("c")), (3, line("d", 60)), (5, ""), (None, near("d"))]
+    rest = Counter(got) - Counter(fixed)
+    assert not Counter(fixed) - Counter(got)
+    assert len(rest) == 1 and set(rest) < {(None, line("e")), (None, near("e"))} and sum(rest.values()) == 1
