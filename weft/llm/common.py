@@ -18,30 +18,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; set here only where unset (tests)."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Local sessions without one get a folder
+    of this machine; on a cluster that would lose data with an executor, so there it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = jvm.get() if jvm.isDefined() else "/tmp/checkpoints/weft"
+        at = jvm.get() if jvm.isDefined() else None
+    if not at:
+        if not spark.sparkContext.isLocal:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = "/tmp/checkpoints/weft"
     return at.rstrip("/")
 
 
+#: Folders that written() made and that nothing has dropped yet, oldest first.
+MADE: list[str] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage ends there, and any executor may be lost later."""
+    """df as a Parquet table in the shared folder, read back: lineage ends there, and any executor may be lost later.
+    The shuffle files of the job that wrote it go at its end, as nothing reads them again."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/weft-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    MADE.append(at)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(at)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes the table that written() made, once its successor stands."""
-    spark = df.sparkSession
+def removed(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders that written() made."""
     jvm = spark.sparkContext._jvm
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        if "/weft-" in f:
-            at = jvm.org.apache.hadoop.fs.Path(f)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    for at in folders:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if at in MADE:
+            MADE.remove(at)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Removes the tables that written() made, once their successors stand."""
+    for df in frames:
+        files = {x.rpartition("/")[0] for x in df.inputFiles()}
+        removed(df.sparkSession, [at for at in MADE if any(f.endswith(at.rpartition("/")[2]) for f in files)])
 
 
 def native_words(text):

@@ -4,27 +4,33 @@ A document's set holds its distinct n-word shingles (64-bit hashes of lower-case
 link if den * intersection >= num * union, that is, if their symmetric difference is at most
 K = (den - num) * (a + b) / (den + num).
 
-1. Copies collapse: documents with equal sets form a class, named by its smallest doc_id; from here on classes count.
+1. Copies collapse: rows with equal sets form a class, represented by one row; from here on classes count.
 2. PartEnum. Sizes fall into bands; a set signs in its own band and in each further band that holds a size it may
    link with, so every linked pair signs together in the larger one's band. There K is at most k; the feature domain
-   is dealt by hash to N1 groups of N2 partitions, N1 = ceil((k + 1) / (K2 + 1)), so that some group holds at most K2
-   of the differing features, and of its partitions some N2 - K2 hold none: each group signs with every such subset
-   of its partitions (N2 = partitions, 3 by default; K2 = SPARED = 1), and linked sets share a signature. Two partitions make
-   a third fewer signatures than three, each on fewer features.
-3. Buckets of equal signatures are never expanded into pairs. Each bucket has a leader, the member with the most
-   company over all its buckets, and every member is compared with its leaders only (exact, on whole sets).
-4. What stars around leaders c cannot see: links between x and y in one bucket when y is not linked to c. With
-   R = c minus set and A = set minus c, their intersection is |c| - |Rx u Ry| + |Ax n Ay|, and as y is not linked to
-   c, x and y must share several added features, or, where x is smaller than c, removed ones; how many follows from
-   the sizes. So only x and y that share such a feature are compared, y contributing a prefix of its rarest added
-   features. This finds every link that step 3 left out, without pairs of a whole group: pairs of which both ends are
-   linked to c need no comparison, as they are already connected.
-5. Components of the links, by alternating large and small stars.
+   is dealt by hash to N1 groups of `partitions` partitions (3 by default), and each group signs with every subset of its partitions
+   but SPARED. A group in which a pair differs by SPARED features at most gives it an equal signature. Of N1 =
+   floor(k / (SPARED + 1)) + 1 + E groups, at least E + 1 are such groups for a linked pair.
+3. Buckets of up to FULL classes are compared pair by pair, which is linear. A larger bucket is weak: its signature
+   holds features that many texts share, or none. A class with at most E groups in weak buckets needs none of them,
+   since one of its E + 1 groups with any partner lies in a small bucket. Only classes with more (members of large
+   groups of near copies, texts made of shared passages) meet in weak buckets, and there each is compared with the
+   bucket's leader alone, the member with the most company over all its buckets.
+4. Whatever a weak bucket still holds in more than one component is settled by features: of those that occur in two
+   components, rarest first, each class lists its first |x'| - t + 1 (t: the least intersection with any partner), and
+   linked classes share a listed one. Classes that share one are again compared with a leader first; features that
+   a merged component has to itself fall out; the pairs left over are compared one by one. Large groups of copies
+   merge by their leaders, so that pairs are left only between different texts that rare features suggest.
+5. Every comparison first bounds the difference from below by sketches (parities of hashed features, folded to equal
+   length: each differing bit needs a differing feature); only pairs that pass ship whole sets, for the exact count.
+6. Components of the links, by alternating large and small stars.
+
+Rows are numbered once in a written table, so that a missing or repeated key changes nothing; a component has the
+name of its least key (rows without a key come last).
 
 Defined results: null, empty or wordless texts have empty sets, link with nothing and are components of their own;
-texts with fewer words than n have one shingle, the whole sequence; repeated rows are copies; rows without doc_id
-are linked as copies only; rows that repeat a doc_id with another text share its component's links by the larger set;
-other columns of the input are not read.
+texts with fewer words than n have one shingle, the whole sequence; repeated rows are copies; rows without a key are
+linked like others, and a component of such rows alone has a null name; other columns of the input are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,7 +47,11 @@ from .common import dropped, small_batches, written
 
 PARTITIONS = 3
 SPARED = 1
-BAND = 1.6
+BAND = 1.3
+FULL = 8
+LISTED = 8  # pairs for each listed feature up to which no further leaders are asked
+
+GROUP_MASK = (1 << 18) - 1
 
 _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,7 +110,7 @@ def shingles(text: str | None, n: int = 3) -> np.ndarray:
 
 
 class Bands:
-    """Bands of sizes and their partition numbers for a threshold num / den."""
+    """Bands of sizes, the groups of each, and how many of these a linked pair can do without."""
 
     def __init__(self, num: int, den: int, partitions: int = PARTITIONS):
         self.num, self.den, self.partitions = num, den, partitions
@@ -117,41 +127,68 @@ class Bands:
         """Bands in which a set of this size signs."""
         return range(self.band(size), self.band(size * self.den // self.num) + 1)
 
-    def groups(self, band: int) -> int:
+    def groups(self, band: int) -> tuple[int, int]:
+        """(groups, E); no groups where only equal sets could link."""
         k = (self.den - self.num) * 2 * self.highs[band] // (self.den + self.num)
-        return -(-(k + 1) // (SPARED + 1)) if k else 0
+        if not k:
+            return 0, 0
+        need = k // (SPARED + 1) + 1
+        spare = -(-need * (self.den - self.num) * 5 // (4 * self.den))
+        return need + spare, spare
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures (int64) of a set; for k = 0 the whole set signs, which copies alone share."""
+    """Signatures (int64) of a set: hash, group number (18 bits) and band (4 bits)."""
     out = []
-    weight = _mix(s + _ORDER[8])
+    weight, base = _mix(s + _ORDER[8]), _mix(s ^ _ORDER[9])
     for band in bands.of(len(s)):
-        groups = bands.groups(band)
+        groups, _ = bands.groups(band)
         if not groups:
-            continue  # differing sets cannot link here, and equal ones are one class
-        part = (_mix(s ^ _ORDER[9]) % np.uint64(groups * bands.partitions)).astype(np.int64)
+            continue
         sums = np.zeros(groups * bands.partitions, dtype=np.uint64)
-        np.add.at(sums, part, weight)
+        np.add.at(sums, (base % np.uint64(groups * bands.partitions)).astype(np.int64), weight)
         sums = _mix(sums.reshape(groups, bands.partitions) + _ORDER[10])
-        tag = np.arange(groups, dtype=np.uint64) * _ORDER[11] + np.full(groups, _times(band, 12))
+        number = np.arange(groups, dtype=np.uint64)
+        tag = number * _ORDER[11] + np.full(groups, _times(band, 12))
+        low = (number & np.uint64(GROUP_MASK)) << np.uint64(4) | np.uint64(band & 15)
         for k, subset in enumerate(bands.subsets):
             x = tag + np.full(groups, _times(k, 13))
             for i in subset:
                 x = x + sums[:, i] * _ORDER[16 + i]
-            out.append(_mix(x))
+            out.append(_mix(x) & ~np.uint64(GROUP_MASK << 4 | 15) | low)
     return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the features' hashes modulo a power of two, at least 64 and the set's size."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    at = (_mix(s + _ORDER[7]) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their sketches."""
+    n, x, y = min(len(a), len(b)), int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    for wide in (len(a), len(b)):
+        while wide > n:
+            wide //= 2
+            if len(a) > n:
+                x = (x >> 8 * wide) ^ (x & (1 << 8 * wide) - 1)
+            else:
+                y = (y >> 8 * wide) ^ (y & (1 << 8 * wide) - 1)
+    return (x ^ y).bit_count()
+
+
 def _profiles(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for key, text in zip(b["k"], b["t"]):
+            for row, key, text in zip(b["row"], b["k"], b["t"]):
                 s = shingles(text, words)
                 d = np.array([_mix(s + _ORDER[14]).sum(dtype=np.uint64), _mix(s ^ _ORDER[15]).sum(dtype=np.uint64)], dtype=np.uint64).view(np.int64)
-                rows.append((key, len(s), d[0], d[1]))
-            yield pd.DataFrame(rows, columns=["k", "n", "d1", "d2"]).astype({"k": "Int64", "n": "int64", "d1": "int64", "d2": "int64"})
+                rows.append((row, key, len(s), d[0], d[1], sketch(s)))
+            frame = pd.DataFrame(rows, columns=["row", "k", "n", "d1", "d2", "sk"])
+            yield frame.astype({"row": "int64", "k": "Int64", "n": "int64", "d1": "int64", "d2": "int64"})
 
     return run
 
@@ -162,7 +199,23 @@ def _signed(words: int, num: int, den: int, partitions: int):
         for b in batches:
             sigs = [signatures(shingles(t, words), bands) for t in b["t"]]
             if sigs:
-                yield pd.DataFrame({"v": np.repeat(b["k"].to_numpy(), [len(x) for x in sigs]), "sig": np.concatenate(sigs)})
+                yield pd.DataFrame({"v": np.repeat(b["row"].to_numpy(), [len(x) for x in sigs]), "sig": np.concatenate(sigs)})
+
+    return run
+
+
+def _needy(num: int, den: int):
+    """Keeps (v, band) of classes with more groups in weak buckets than a linked pair can do without."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bands = Bands(num, den)
+        for b in batches:
+            keep = []
+            for n, low, weak in zip(b["n"], b["band"], b["weak"]):
+                band = next(x for x in bands.of(n) if x & 15 == low)
+                groups, spare = bands.groups(band)
+                keep.append(weak > spare or groups > GROUP_MASK)
+            yield b.loc[np.array(keep, dtype=bool), ["v", "band"]]
 
     return run
 
@@ -170,30 +223,48 @@ def _signed(words: int, num: int, den: int, partitions: int):
 def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingles(t, words) for t in b["t"]]
-            yield pd.DataFrame({"v": b["k"], "n": [len(s) for s in sets], "s": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"v": b["row"], "s": [shingles(t, words).tobytes() for t in b["t"]]})
 
     return run
 
 
-def _compared(num: int, den: int):
+def _features(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for x, c, sx, sc in zip(b["x"], b["c"], b["sx"], b["sc"]):
-                u, v = np.frombuffer(sx, dtype=np.uint64), np.frombuffer(sc, dtype=np.uint64)
-                both = np.intersect1d(u, v, assume_unique=True)
-                linked = den * len(both) >= num * (len(u) + len(v) - len(both))
-                removed, added = np.setdiff1d(v, both, assume_unique=True), np.setdiff1d(u, both, assume_unique=True)
-                rows.append((x, c, len(u), len(v), linked, removed.view(np.int64), added.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["x", "c", "a", "m", "linked", "gone", "new"])
+            sets = [shingles(t, words) for t in b["t"]]
+            n = [len(s) for s in sets]
+            yield pd.DataFrame({"v": np.repeat(b["row"].to_numpy(), n), "n": np.repeat(n, n), "e": np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)})
+
+    return run
+
+
+def _close(num: int, den: int):
+    """Whether two sketches (with sizes) may be of linked sets."""
+
+    @F.pandas_udf("boolean")
+    def run(sx: pd.Series, sy: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        most = (den - num) * (a + b) // (den + num)
+        return pd.Series([least_difference(p, q) <= k for p, q, k in zip(sx, sy, most)], dtype=bool)
+
+    return run
+
+
+def _linked(num: int, den: int):
+    @F.pandas_udf("boolean")
+    def run(sx: pd.Series, sy: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(sx, sy):
+            u, v = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            out.append(den * both >= num * (len(u) + len(v) - both))
+        return pd.Series(out, dtype=bool)
 
     return run
 
 
 def linked_components(edges: DataFrame) -> DataFrame:
     """edges (u, v bigint) -> (v, component): large and small stars by turns until nothing changes."""
-    now = written(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -212,93 +283,149 @@ def linked_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("v"), F.col("v").alias("component"))
 
 
-def _least_common(a: Column, b: Column, num: int, den: int) -> Column:
-    """The least intersection with which sets of sizes a and b link."""
-    return F.ceil(num * (a + b) / (num + den)).cast("bigint")
-
-
-def links(docs: DataFrame, profiles: DataFrame, words: int, num: int, den: int, partitions: int = PARTITIONS) -> tuple[DataFrame, DataFrame]:
-    """(classes: d1, d2, v), (edges u, v between classes whose links connect all that is linked)."""
-    classes = written(profiles.where("n > 0").groupBy("d1", "d2").agg(F.min("k").alias("v")), "classes")
-    named = classes.where("v IS NOT NULL").select(F.col("v").alias("k")).distinct()
-    signed = written(docs.join(named.hint("shuffle_hash"), "k").mapInPandas(_signed(words, num, den, partitions), "v bigint, sig bigint"), "signed")
-    shared = signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
-    met = written(signed.join(shared, "sig").select("sig", "v", "c"), "buckets")
-    dropped(signed)
-    company = met.groupBy("v").agg(F.sum("c").alias("company"))
-    met2 = met.join(company, "v")
-    leader = met2.groupBy("sig").agg(F.max(F.struct("company", (-F.col("v")).alias("v"))).alias("l")).select("sig", (-F.col("l.v")).alias("c"))
-    stars = written(met.select("sig", F.col("v").alias("x")).join(leader, "sig").where("x <> c").select("x", "c").distinct(), "stars")
-    dropped(met)
-
-    wanted = stars.select(F.col("x").alias("k")).unionByName(stars.select(F.col("c").alias("k"))).distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), "k")
-    sets = texts.mapInPandas(_sets(words), "v bigint, n bigint, s binary")
-    sets = written(sets.groupBy("v").agg(F.max(F.struct("n", "s")).alias("r")).select("v", F.col("r.s").alias("s")), "sets")
-    pairs = stars.join(sets.select(F.col("v").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("v").alias("c"), F.col("s").alias("sc")), "c")
-    compared = written(
-        pairs.select("x", "c", "sx", "sc").mapInPandas(_compared(num, den), "x bigint, c bigint, a bigint, m bigint, linked boolean, gone array<bigint>, new array<bigint>"), "compared"
-    )
-    edges = compared.where("linked").select(F.col("x").alias("u"), F.col("c").alias("v"))
-    return classes, edges.unionByName(_beyond_stars(compared, num, den))
-
-
-def _beyond_stars(compared: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) inside the buckets of a leader of which one end, y, is not linked to it (step 4)."""
-    least = compared.groupBy("c").agg(F.min("a").alias("a_least"), F.count("*").alias("members")).where(F.col("members") > 1)
-    open_ = compared.where(~F.col("linked")).select("c").distinct()
-    member = compared.join(open_, "c", "left_semi").join(least, "c")
-    size = {k: F.size(k).cast("bigint") for k in ("gone", "new")}
-    # rarest first: how many members of c have added the feature
-    rows = member.select("c", "x", "a", "m", "linked", "a_least", size["gone"].alias("r"), size["new"].alias("p"), F.explode("new").alias("e"))
-    often = rows.groupBy("c", "e").agg(F.count("*").alias("often")).where("often > 1")
-    rows = rows.join(often, ["c", "e"])
-    # y: not linked to c; its partners have at least the least size, and fit the threshold with b
-    partner = F.greatest(F.col("a_least"), F.ceil(F.col("a") * num / den).cast("bigint"))
-    need = _least_common(F.least(partner, F.col("m")), F.col("a"), num, den) - (F.col("m") - F.col("r"))
-    # features that nobody else added do not count, so the prefix is short of them too: all p features are ranked,
-    # unshared ones first, and what is left of the first p - need + 1 are shared ones
-    rank = F.row_number().over(Window.partitionBy("c", "x").orderBy("often", "e"))
-    prefix = (
-        rows.where(~F.col("linked"))
-        .withColumn("rank", rank)
-        .withColumn("shared", F.count("*").over(Window.partitionBy("c", "x")))
-        .where(F.col("rank") <= F.col("p") - F.greatest(need, F.lit(1)) + 1 - (F.col("p") - F.col("shared")))
-        .select("c", "e", F.col("x").alias("y"), F.col("a").alias("b"), F.col("r").alias("ry"), F.col("p").alias("py"), "m")
-    )
-    # need <= 0 for some partner smaller than c: then all of y's features count, and removed ones are joined below
-    every = rows.where(~F.col("linked") & (need <= 0)).select("c", "e", F.col("x").alias("y"), F.col("a").alias("b"), F.col("r").alias("ry"), F.col("p").alias("py"), "m")
-    prefix = prefix.unionByName(every).distinct()
-    fits = (F.col("x") != F.col("y")) & (
-        F.col("m") - F.greatest("r", "ry") + F.least("p", "py") >= _least_common(F.col("a"), F.col("b"), num, den)
-    )
-    by_new = rows.select("c", "e", "x", "a", "r", "p").join(prefix, ["c", "e"]).where(fits).select("c", "x", "y")
-
-    smaller = member.where(F.col("a") < F.col("m")).select(
-        "c", "x", "a", size["gone"].alias("r"), F.explode(F.slice("gone", F.lit(1), F.ceil(num * (F.col("m") - F.col("a")) / (num + den)).cast("int"))).alias("e")
-    )
-    low = member.where(~F.col("linked") & (size["gone"] <= F.col("m") - _least_common(partner, F.col("a"), num, den))).select(
-        "c", F.col("x").alias("y"), F.col("a").alias("b"), size["gone"].alias("ry"), "m", F.explode("gone").alias("e")
-    )
-    by_gone = smaller.join(low, ["c", "e"]).where((F.col("x") != F.col("y")) & (F.col("m") - F.greatest("r", "ry") >= _least_common(F.col("a"), F.col("b"), num, den))).select("c", "x", "y")
-
-    found = by_new.unionByName(by_gone).distinct()
-    sides = member.select("c", "x", "a", "m", "gone", "new")
-    ends = found.join(sides, ["c", "x"]).join(
-        sides.select("c", F.col("x").alias("y"), F.col("a").alias("b"), F.col("gone").alias("gone_y"), F.col("new").alias("new_y")), ["c", "y"]
-    )
-    common = F.col("m") - F.size(F.array_union("gone", "gone_y")) + F.size(F.array_intersect("new", "new_y"))
-    return ends.where(den * common >= num * (F.col("a") + F.col("b") - common)).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
+class _Join:
+    """The join of the classes of rows (row, t): comparisons and the steps of the docstring."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, words: int, num: int, den: int, partitions: int):
+        self.rows, self.classes, self.words, self.num, self.den, self.partitions = rows, classes, words, num, den, partitions
+        self.pairs_compared = 0
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        return self.rows.join(wanted.select(F.col("v").alias("row")), "row", "left_semi")
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """The links (u, v) among pairs (x, y); exact."""
+        num, den = self.num, self.den
+        side = lambda v, n, s: self.classes.select(F.col("v").alias(v), F.col("n").alias(n), F.col("sk").alias(s))
+        both = pairs.join(side("x", "a", "sx"), "x").join(side("y", "b", "sy"), "y")
+        fits = num * F.greatest("a", "b") <= den * F.least("a", "b")
+        near = written(both.where(fits).where(_close(num, den)("sx", "sy", "a", "b")).select("x", "y"), "near")
+        wanted = near.select(F.col("x").alias("v")).unionByName(near.select(F.col("y").alias("v"))).distinct()
+        sets = written(self.texts(wanted).mapInPandas(_sets(self.words), "v bigint, s binary"), "sets")
+        whole = near.join(sets.select(F.col("v").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("v").alias("y"), F.col("s").alias("sy")), "y")
+        edges = written(whole.where(_linked(num, den)("sx", "sy")).select(F.col("x").alias("u"), F.col("y").alias("v")), "links")
+        dropped(near, sets)
+        return edges
+
+    def links(self) -> DataFrame:
+        """Links (u, v) that connect whatever is linked."""
+        signed = self.texts(self.classes).mapInPandas(_signed(self.words, self.num, self.den, self.partitions), "v bigint, sig bigint")
+        shared = written(signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+        met = written(signed.join(shared, "sig").select("v", "sig", "c"), "met")
+        dropped(shared)
+        each = met.where(F.col("c") <= FULL).groupBy("sig").agg(F.collect_list("v").alias("vs"))
+        pair = "flatten(transform(vs, (a, i) -> transform(slice(vs, i + 2, size(vs)), b -> struct(greatest(a, b) AS x, least(a, b) AS y))))"
+        pairs = each.select(F.explode(F.expr(pair)).alias("p")).select("p.x", "p.y").where("x <> y")
+        weak = met.where(F.col("c") > FULL).select("v", "sig", F.col("sig").bitwiseAND(15).alias("band"), F.shiftright("sig", 4).bitwiseAND(GROUP_MASK).alias("g"))
+        groups = weak.groupBy("v", "band").agg(F.count_distinct("g").alias("weak")).join(self.classes.select("v", "n"), "v")
+        needy = groups.mapInPandas(_needy(self.num, self.den), "v bigint, band bigint")
+        rest = written(weak.join(needy, ["v", "band"]).select("v", "sig"), "rest")
+        company = rest.groupBy("v").agg(F.count("*").alias("company"))
+        stars = written(_stars(rest.join(company, "v"), "sig").unionByName(pairs).distinct(), "pairs")
+        dropped(met)
+        edges = self.compared(stars)
+        dropped(stars)
+        edges = self._settled(rest, edges)
+        dropped(rest)
+        return edges
+
+    def _settled(self, rest: DataFrame, edges: DataFrame) -> DataFrame:
+        """edges and the links between classes that share a weak bucket but no component (step 4)."""
+        num, den = self.num, self.den
+        label = linked_components(edges)
+        named = _labelled(rest, label)
+        open_ = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
+        several = rest.join(open_, "sig", "left_semi").select("v").distinct()
+        features = written(self.texts(several).mapInPandas(_features(self.words), "v bigint, n bigint, e bigint"), "features")
+        before = None
+        while True:
+            named = written(_labelled(features, label), "named")
+            often = named.groupBy("e").agg(F.count("*").alias("often"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+            kept = named.join(often.select("e", "often"), "e")
+            mine = Window.partitionBy("v")
+            kept = kept.withColumn("rank", F.row_number().over(mine.orderBy("often", "e"))).withColumn("own", F.count("*").over(mine))
+            listed = written(kept.where(F.col("rank") <= F.col("own") - F.ceil(F.col("n") * num / F.lit(den)) + 1).select("e", "v", "c"), "listed")
+            dropped(named)
+            by = listed.groupBy("e", "c").agg(F.count("*").alias("k")).groupBy("e").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
+            total = by.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2), F.lit(0.0)).alias("pairs")).first()
+            last = total["pairs"] <= LISTED * total["k"] or (before is not None and total["pairs"] > before / 2)
+            before = total["pairs"]
+            if total["pairs"] == 0:
+                dropped(listed)
+                break
+            if last:
+                other = listed.select("e", F.col("v").alias("y"), F.col("c").alias("cy"))
+                pairs = listed.withColumnRenamed("v", "x").join(other, "e").where("c <> cy AND x > y").select("x", "y")
+            else:
+                company = listed.groupBy("v").agg(F.count("*").alias("company"))
+                pairs = _stars(listed.join(company, "v"), "e", "c")
+            pairs = written(pairs.distinct(), "pairs")
+            self.pairs_compared += pairs.count()
+            found = self.compared(pairs)
+            edges = written(edges.unionByName(found), "links")
+            dropped(listed, pairs, found)
+            if last:
+                break
+            label = linked_components(edges)
+        dropped(features)
+        return edges
+
+
+def _stars(members: DataFrame, key: str, apart: str | None = None) -> DataFrame:
+    """Pairs (x, y) of each member (key, v, company) and its key's leader, of different components where given."""
+    order = F.struct("company", (-F.col("v")).alias("v"), *([F.col(apart)] if apart else []))
+    leader = members.groupBy(key).agg(F.max(order).alias("l")).select(key, (-F.col("l.v")).alias("w"), *([F.col(f"l.{apart}").alias("cw")] if apart else []))
+    both = members.join(leader, key).where("v <> w")
+    both = both.where(f"{apart} <> cw") if apart else both
+    return both.select(F.greatest("v", "w").alias("x"), F.least("v", "w").alias("y"))
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with the component c of v (itself where nothing is linked to it)."""
+    return rows.join(label, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
+
+
+def numbered(docs: DataFrame, row: str = "__weft_row") -> DataFrame:
+    """docs as a written table whose rows have numbers that stay."""
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
+def row_components(rows: DataFrame, row: str, key: str, text: str, words: int, num: int, den: int, partitions: int = PARTITIONS) -> DataFrame:
+    """(row, k, n, first, name) for each row of a written table with stable row numbers: the least row of its
+    component by (key, row), nulls last, and that row's key."""
+    small_batches(rows.sparkSession, 256)
+    rows = rows.select(F.col(row).alias("row"), F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"))
+    profiles = written(rows.mapInPandas(_profiles(words), "row bigint, k bigint, n bigint, d1 bigint, d2 bigint, sk binary"), "profiles")
+    order = F.struct(F.col("k").isNull().alias("none"), "k", "row")
+    same = written(profiles.where("n > 0").groupBy("d1", "d2").agg(F.min(order).alias("least")).select("d1", "d2", F.col("least.row").alias("v"), "least"), "classes")
+    classes = written(profiles.select(F.col("row").alias("v"), "n", "sk").join(same.select("v"), "v", "left_semi"), "sketches")
+    edges = _Join(rows.select("row", "t"), classes, words, num, den, partitions).links()
+    label = written(linked_components(edges), "labels")
+    member = _labelled(same, label)
+    least = member.groupBy("c").agg(F.min("least").alias("first"))
+    named = member.join(least, "c").select("d1", "d2", "first", F.lit(True).alias("set"))
+    out = profiles.select("row", "k", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+    some = F.col("set").isNotNull() & (F.col("n") > 0)
+    out = out.select("row", "k", "n", F.when(some, F.col("first.row")).otherwise(F.col("row")).alias("first"), F.when(some, F.col("first.k")).otherwise(F.col("k")).alias("name"))
+    out = written(out, "components")
+    dropped(profiles, same, classes, edges, label)
+    return out
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100, partitions: int = PARTITIONS) -> DataFrame:
     """(key, n_shingles, component_id) for each row of docs."""
-    small_batches(docs.sparkSession, 256)
-    docs = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"))
-    profiles = written(docs.mapInPandas(_profiles(words), "k bigint, n bigint, d1 bigint, d2 bigint"), "profiles")
-    classes, edges = links(docs, profiles, words, num, den, partitions)
-    labels = linked_components(edges)
-    named = classes.join(labels, "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("component"), F.lit(True).alias("set"))
-    named = written(named, "named")
-    rows = profiles.select("k", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
-    return rows.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("k")).alias("component_id"))
+    rows = numbered(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "row")
+    out = row_components(rows, "row", "k", "t", words, num, den, partitions)
+    dropped(rows)
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with the first row of each component alone, of the least key; rows without a shingle stay, copies of
+    them (equal in key and text) but once."""
+    rows = numbered(docs)
+    found = row_components(rows, "__weft_row", key, text, words, num, den)
+    blank = rows.join(found.where("n = 0").select(F.col("row").alias("__weft_row")), "__weft_row", "left_semi")
+    blank = blank.groupBy(key, text).agg(F.min("__weft_row").alias("__weft_row")).select("__weft_row")
+    stay = found.where("n > 0 AND row = first").select(F.col("row").alias("__weft_row")).unionByName(blank)
+    return rows.join(stay, "__weft_row", "left_semi").select(*docs.columns)
