@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, language_id, mixing, ngram_join, secret_scan
+from weft.llm import bpe, common, language_id, mixing, ngram_join, secret_scan
 from weft.llm.common import small_batches, table, written
 
 
@@ -23,23 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
-    ids = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).collect()[0]
-    if ids["n"] != ids["d"]:
-        return _drop_by_row(docs)
-    rows = written(ngram_join.components(docs, words=5, num=80, den=100), "components")
-    gone = rows.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def _drop_by_row(docs: DataFrame) -> DataFrame:
-    """The same where a doc_id is missing or repeated: each distinct (doc_id, text) is linked and kept or dropped by a row
-    number of its own; the least doc_id of a component stays."""
-    rows = written(docs.dropDuplicates(["doc_id", "text"]).withColumn("__weft_row", F.monotonically_increasing_id()), "rows")
-    found = written(ngram_join.components(rows, key="__weft_row", words=5, num=80, den=100), "components")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "__weft_row")
-    least = found.join(rows.select("__weft_row", order.alias("o")), "__weft_row").groupBy("component_id").agg(F.min("o").alias("o"))
-    return rows.join(least.select("o.__weft_row"), "__weft_row", "left_semi").select(*docs.columns)
+    """One document of each component of near duplicates, the one of the least doc_id (none last): five-word shingles,
+    Jaccard similarity 0.8 or more. Texts without words stay, equal rows of them but once."""
+    return ngram_join.deduplicated(docs, words=5, num=80, den=100)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        made = list(common.MADE)
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        here = common.MADE[-1]
+        common.removed(spark, [at for at in list(common.MADE) if at == last or (at not in made and at != here)])
+        last = here
     return STAGES[-1][1](spark, docs, sf_dir)
