@@ -15,11 +15,12 @@ K = (den - num) * (a + b) / (den + num).
    since one of its E + 1 groups with any partner lies in a small bucket. Only classes with more (members of large
    groups of near copies, texts made of shared passages) meet in weak buckets, and there each is compared with the
    bucket's leader alone, the member with the most company over all its buckets.
-4. Whatever a weak bucket still holds in more than one component is settled by features: of those that occur in two
-   components, rarest first, each class lists its first |x'| - t + 1 (t: the least intersection with any partner), and
-   linked classes share a listed one. Classes that share one are again compared with a leader first; features that
-   a merged component has to itself fall out; the pairs left over are compared one by one. Large groups of copies
-   merge by their leaders, so that pairs are left only between different texts that rare features suggest.
+4. Whatever a weak bucket still holds in more than one component is settled by rare features. Classes near the same
+   pivot (a leader) can link only if they share enough of their differences from it, others only if they share
+   enough features; of those that occur in two components, rarest first, each class lists so many that linked ones
+   share a listed one. Classes that share one are again compared with a leader first; features that a merged
+   component has to itself fall out; the pairs left over are compared one by one. Large groups of copies merge by
+   their leaders, so that pairs are left only between different texts that rare features suggest.
 5. Every comparison first bounds the difference from below by sketches (parities of hashed features, folded to equal
    length: each differing bit needs a differing feature); only pairs that pass ship whole sets, for the exact count.
 6. Components of the links, by alternating large and small stars.
@@ -49,6 +50,7 @@ PARTITIONS = 3
 SPARED = 1
 BAND = 1.3
 FULL = 8
+NEAR = 3  # times the threshold's difference within which a leader serves as a pivot
 LISTED = 8  # pairs for each listed feature up to which no further leaders are asked
 
 GROUP_MASK = (1 << 18) - 1
@@ -238,12 +240,29 @@ def _features(words: int):
     return run
 
 
-def _close(num: int, den: int):
-    """Whether two sketches (with sizes) may be of linked sets."""
+def _differences(num: int, den: int):
+    """Each set's differences from its pivot; sets beyond NEAR times the threshold's difference have no pivot."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for x, p, sx, sp in zip(b["v"], b["p"], b["s"], b["sp"]):
+                u, v = np.frombuffer(sx, dtype=np.uint64), np.frombuffer(sp, dtype=np.uint64)
+                es = np.setxor1d(u, v, assume_unique=True)
+                most = (den - num) * (len(u) + len(v))
+                if (den + num) * len(es) <= NEAR * most:
+                    rows.append((x, p, len(v), (den + num) * len(es) - (den - num) * len(u), (den + num) * len(es) > most, es.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["v", "p", "np", "s", "far", "es"])
+
+    return run
+
+
+def _close(num: int, den: int, times: int = 1):
+    """Whether two sketches (with sizes) may be of sets that differ by the threshold's difference, so many times."""
 
     @F.pandas_udf("boolean")
     def run(sx: pd.Series, sy: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        most = (den - num) * (a + b) // (den + num)
+        most = times * (den - num) * (a + b) // (den + num)
         return pd.Series([least_difference(p, q) <= k for p, q, k in zip(sx, sy, most)], dtype=bool)
 
     return run
@@ -293,11 +312,15 @@ class _Join:
     def texts(self, wanted: DataFrame) -> DataFrame:
         return self.rows.join(wanted.select(F.col("v").alias("row")), "row", "left_semi")
 
+    def sketched(self, pairs: DataFrame, x: str, y: str) -> DataFrame:
+        """pairs with the sizes a, b and the sketches sx, sy of x and y."""
+        side = lambda v, n, s: self.classes.select(F.col("v").alias(v), F.col("n").alias(n), F.col("sk").alias(s))
+        return pairs.join(side(x, "a", "sx"), x).join(side(y, "b", "sy"), y)
+
     def compared(self, pairs: DataFrame) -> DataFrame:
         """The links (u, v) among pairs (x, y); exact."""
         num, den = self.num, self.den
-        side = lambda v, n, s: self.classes.select(F.col("v").alias(v), F.col("n").alias(n), F.col("sk").alias(s))
-        both = pairs.join(side("x", "a", "sx"), "x").join(side("y", "b", "sy"), "y")
+        both = self.sketched(pairs, "x", "y")
         fits = num * F.greatest("a", "b") <= den * F.least("a", "b")
         near = written(both.where(fits).where(_close(num, den)("sx", "sy", "a", "b")).select("x", "y"), "near")
         wanted = near.select(F.col("x").alias("v")).unionByName(near.select(F.col("y").alias("v"))).distinct()
@@ -331,45 +354,85 @@ class _Join:
 
     def _settled(self, rest: DataFrame, edges: DataFrame) -> DataFrame:
         """edges and the links between classes that share a weak bucket but no component (step 4)."""
-        num, den = self.num, self.den
         label = linked_components(edges)
-        named = _labelled(rest, label)
-        open_ = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
+        open_ = _labelled(rest, label).groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
         several = rest.join(open_, "sig", "left_semi").select("v").distinct()
         features = written(self.texts(several).mapInPandas(_features(self.words), "v bigint, n bigint, e bigint"), "features")
-        before = None
-        while True:
-            named = written(_labelled(features, label), "named")
-            often = named.groupBy("e").agg(F.count("*").alias("often"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-            kept = named.join(often.select("e", "often"), "e")
-            mine = Window.partitionBy("v")
-            kept = kept.withColumn("rank", F.row_number().over(mine.orderBy("often", "e"))).withColumn("own", F.count("*").over(mine))
-            listed = written(kept.where(F.col("rank") <= F.col("own") - F.ceil(F.col("n") * num / F.lit(den)) + 1).select("e", "v", "c"), "listed")
-            dropped(named)
-            by = listed.groupBy("e", "c").agg(F.count("*").alias("k")).groupBy("e").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
-            total = by.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2), F.lit(0.0)).alias("pairs")).first()
+        pivoted = before = None
+        last = False
+        while not last:
+            lists = self._listed_features(features, label, pivoted)
+            listed = written(lists if pivoted is None else lists.unionByName(self._listed_differences(pivoted, label)), "listed")
+            total = _pairs_of(listed).first()
             last = total["pairs"] <= LISTED * total["k"] or (before is not None and total["pairs"] > before / 2)
-            before = total["pairs"]
-            if total["pairs"] == 0:
-                dropped(listed)
-                break
-            if last:
-                other = listed.select("e", F.col("v").alias("y"), F.col("c").alias("cy"))
-                pairs = listed.withColumnRenamed("v", "x").join(other, "e").where("c <> cy AND x > y").select("x", "y")
-            else:
-                company = listed.groupBy("v").agg(F.count("*").alias("company"))
-                pairs = _stars(listed.join(company, "v"), "e", "c")
+            pairs = _apart(listed) if last else _stars(_company(listed, listed).withColumn("key", F.xxhash64("p", "e")), "key", "c")
+            if pivoted is not None:
+                before = total["pairs"]
+                pairs = pairs.unionByName(self._sure(pivoted))
             pairs = written(pairs.distinct(), "pairs")
             self.pairs_compared += pairs.count()
             found = self.compared(pairs)
             edges = written(edges.unionByName(found), "links")
+            if not last:
+                label = linked_components(edges)
+                if pivoted is None:
+                    pivoted = self._pivoted(rest, listed, label)
             dropped(listed, pairs, found)
-            if last:
-                break
-            label = linked_components(edges)
         dropped(features)
         return edges
 
+    def _pivoted(self, rest: DataFrame, listed: DataFrame, label: DataFrame) -> DataFrame:
+        """(v, p, np, s, far, es): for each class near a leader, the pivot p of that leader's component, the class's
+        differences es from p, s = (den + num) |es| - (den - num) n, and whether p is not linked to it. A component's
+        pivot has the most company in weak buckets; of several leaders that of the largest component counts."""
+        num, den = self.num, self.den
+        hub = _labelled(rest.groupBy("v").agg(F.count("*").alias("company")), label).groupBy("c").agg(
+            F.count("*").alias("size"), F.max(F.struct("company", (-F.col("v")).alias("w"))).alias("l")
+        )
+        star = _stars(_company(listed, listed), "e")
+        led = star.select(F.col("x").alias("v"), F.col("y").alias("w")).unionByName(star.select(F.col("y").alias("v"), F.col("x").alias("w")))
+        led = led.unionByName(listed.select("v", F.col("v").alias("w"))).distinct()
+        near = self.sketched(led, "v", "w").where(_close(num, den, NEAR)("sx", "sy", "a", "b")).select(F.col("v").alias("own"), F.col("w").alias("v"))
+        pivot = _labelled(near, label).join(hub, "c").groupBy("own").agg(F.max(F.struct("size", F.col("l.w").alias("w"))).alias("l")).select(F.col("own").alias("v"), (-F.col("l.w")).alias("p"))
+        wanted = pivot.select("v").unionByName(pivot.select(F.col("p").alias("v"))).distinct()
+        sets = written(self.texts(wanted).mapInPandas(_sets(self.words), "v bigint, s binary"), "sets")
+        both = pivot.join(sets, "v").join(sets.select(F.col("v").alias("p"), F.col("s").alias("sp")), "p")
+        out = written(both.mapInPandas(_differences(num, den), "v bigint, p bigint, np bigint, s bigint, far boolean, es array<bigint>"), "pivoted")
+        dropped(sets)
+        return out
+
+    def _sure(self, pivoted: DataFrame) -> DataFrame:
+        """Pairs (x, y) of each class far from its pivot and the class whose closeness to the pivot leaves most room."""
+        best = pivoted.groupBy("p").agg(F.min(F.struct("s", "v")).alias("b"))
+        room = pivoted.where("far").join(best, "p").where(F.col("s") + F.col("b.s") <= 0)
+        return room.select(F.greatest("v", "b.v").alias("x"), F.least("v", "b.v").alias("y"))
+
+    def _listed_features(self, features: DataFrame, label: DataFrame, pivoted: DataFrame | None) -> DataFrame:
+        """Listed features for pairs of different pivots (q; without a pivot a number of the class's own); p is -1."""
+        named = _labelled(features, label)
+        own = -F.col("v") - 1
+        named = named.withColumn("p", own) if pivoted is None else named.join(pivoted.select("v", "p"), "v", "left").withColumn("p", F.coalesce("p", own))
+        often = named.groupBy("e").agg(F.count("*").alias("often"), *[g(c).alias(g.__name__ + c) for g in (F.min, F.max) for c in ("c", "p")])
+        kept = named.join(often.where("minc < maxc AND minp < maxp").select("e", "often"), "e")
+        mine = Window.partitionBy("v")
+        kept = kept.withColumn("rank", F.row_number().over(mine.orderBy("often", "e"))).withColumn("own", F.count("*").over(mine))
+        kept = kept.where(F.col("rank") <= F.col("own") - F.ceil(F.col("n") * self.num / F.lit(self.den)) + 1)
+        return kept.select(F.lit(-1).cast("bigint").alias("p"), "e", "v", "c", F.lit(True).alias("far"), F.lit(True).alias("short"), F.col("p").alias("q"))
+
+    def _listed_differences(self, pivoted: DataFrame, label: DataFrame) -> DataFrame:
+        """Listed differences from the pivot for pairs of the same pivot p, of which one at least is far from it. Two
+        such sets link only if they share (sx + sy) / 2 (den + num) differences; a far one has s > (den - num) np."""
+        least = pivoted.groupBy("p").agg(F.min("s").alias("least"))
+        rows = _labelled(pivoted.join(least, "p"), label).select("v", "p", "np", "s", "far", "least", "c", F.explode("es").alias("e"))
+        often = rows.groupBy("p", "e").agg(F.count("*").alias("often"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("far").alias("any"))
+        kept = rows.join(often.where("low < high AND any").select("p", "e", "often"), ["p", "e"])
+        mine = Window.partitionBy("v")
+        kept = kept.withColumn("rank", F.row_number().over(mine.orderBy("often", "e"))).withColumn("own", F.count("*").over(mine))
+        least_shared = lambda s: F.greatest(F.lit(1), F.ceil((F.col("s") + s) / F.lit(2 * (self.den + self.num))))
+        short = F.col("rank") <= F.col("own") - least_shared((self.den - self.num) * F.col("np")) + 1
+        long = F.col("rank") <= F.col("own") - least_shared(F.col("least")) + 1
+        return kept.withColumn("short", short).where(F.col("short") | (F.col("far") & long)).select("p", "e", "v", "c", "far", "short", F.col("p").alias("q"))
+
 
 def _stars(members: DataFrame, key: str, apart: str | None = None) -> DataFrame:
     """Pairs (x, y) of each member (key, v, company) and its key's leader, of different components where given."""
@@ -380,6 +443,28 @@ def _stars(members: DataFrame, key: str, apart: str | None = None) -> DataFrame:
     return both.select(F.greatest("v", "w").alias("x"), F.least("v", "w").alias("y"))
 
 
+def _company(members: DataFrame, of: DataFrame) -> DataFrame:
+    """members with the number of rows that of has for v."""
+    return members.join(of.groupBy("v").agg(F.count("*").alias("company")), "v")
+
+
+def _pairs_of(listed: DataFrame) -> DataFrame:
+    """(k, pairs): listed rows, and a bound of the pairs that share a key (p, e) but neither component nor pivot."""
+    count = lambda what: listed.groupBy("p", "e", what).agg(F.count("*").alias("k")).groupBy("p", "e").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias(f"own_{what}"))
+    both = count("c").join(count("q").drop("k"), ["p", "e"])
+    own = F.when(F.col("p") < 0, F.greatest("own_c", "own_q")).otherwise(F.col("own_c"))
+    return both.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum((F.col("k") * F.col("k") - own) / 2), F.lit(0.0)).alias("pairs"))
+
+
+def _apart(listed: DataFrame) -> DataFrame:
+    """The pairs (x, y) that share a key but no component and are not settled by their pivot."""
+    other = listed.select("p", "e", F.col("v").alias("y"), F.col("c").alias("cy"), F.col("far").alias("fy"), F.col("short").alias("sy"), F.col("q").alias("qy"))
+    once = F.col("v") > F.col("y")
+    meets = F.when(F.col("p") < 0, once & (F.col("q") != F.col("qy"))).otherwise(F.col("fy") & F.when(F.col("far"), once & F.col("short") & F.col("sy")).otherwise(True))
+    pairs = listed.join(other, ["p", "e"]).where(F.col("c") != F.col("cy")).where(meets)
+    return pairs.select(F.greatest("v", "y").alias("x"), F.least("v", "y").alias("y"))
+
+
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     """rows with the component c of v (itself where nothing is linked to it)."""
     return rows.join(label, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
