@@ -14,6 +14,9 @@ joined, twice over:
 
 Decoding maps ids to bytes and concatenates up the same tree.
 
+Time grows as n log n or little more (runs and other pieces whose tokens never settle at a joint are merged by sweeps
+or a heap, and once more at each level of the tree).
+
 Defined results: a null or empty text has no tokens; texts of any length take memory in proportion to their own
 length; repeated rows get equal results; other columns, whatever their names, are carried along.
 """
@@ -23,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import regex
@@ -30,6 +34,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LEAF = 64  # bytes of a piece that are merged at once
+FEW = 4  # pieces of so few distinct bytes (runs) are merged at once: their tokens never settle at a joint
 CHUNK = 16_384  # characters of a text that are cut into pieces at once
 CACHE = 200_000  # pieces whose tokens a worker keeps
 
@@ -55,8 +60,10 @@ class Bpe:
         ranks = self.ranks
         if (whole := ranks.get(data)) is not None:
             return [whole]
-        far = len(self.bytes_of) + 1 << 20
         parts = [data[i : i + 1] for i in range(len(data))]
+        if len(parts) > 4 * LEAF:
+            return [ranks[p] for p in self._merged_long(parts)]
+        far = len(self.bytes_of) + 1 << 20
         costs = [ranks.get(a + b, far) for a, b in zip(parts, parts[1:])]
         while costs:
             least = min(costs)
@@ -71,6 +78,60 @@ class Bpe:
                 costs[i - 1] = ranks.get(parts[i - 1] + parts[i], far)
         return [ranks[p] for p in parts]
 
+    def _merged_long(self, parts: list[bytes]) -> list[bytes]:
+        """The same for many parts: whole sweeps while the lowest rank occurs densely (runs), then a heap of pairs.
+
+        A sweep merges all pairs of the lowest rank from left to right and stops where a merge makes a lower one.
+        """
+        get = self.ranks.get
+        far = len(self.bytes_of) + 1 << 20
+        while True:
+            costs = [get(a + b, far) for a, b in zip(parts, parts[1:])]
+            least, n = min(costs, default=far), len(parts)
+            if least == far:
+                return parts
+            if costs.count(least) * 8 < n:
+                break
+            out, i = [], 0
+            while i < n:
+                if i < n - 1 and costs[i] == least:
+                    pair = parts[i] + parts[i + 1]
+                    lower = (out and get(out[-1] + pair, far) < least) or (i + 2 < n and get(pair + parts[i + 2], far) < least)
+                    out.append(pair)
+                    i += 2
+                    if lower:
+                        out += parts[i:]
+                        break
+                else:
+                    out.append(parts[i])
+                    i += 1
+            parts = out
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(c, i) for i, c in enumerate(costs) if c < far]
+        heapify(heap)
+        costs.append(far)
+        while heap:
+            cost, i = heappop(heap)
+            if costs[i] != cost:
+                continue
+            j = after[i]
+            parts[i] += parts[j]
+            parts[j], costs[j] = b"", far
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                costs[i] = get(parts[i] + parts[k], far)
+                if costs[i] < far:
+                    heappush(heap, (costs[i], i))
+            else:
+                costs[i] = far
+            h = before[i]
+            if h >= 0:
+                costs[h] = get(parts[h] + parts[i], far)
+                if costs[h] < far:
+                    heappush(heap, (costs[h], h))
+        return [p for p in parts if p]
+
     def compatible(self, left: int, right: int) -> bool:
         key = (left, right)
         if (known := self.pairs.get(key)) is None:
@@ -94,7 +155,7 @@ class Bpe:
             reach *= 2
 
     def piece(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
+        if len(data) <= LEAF or len(set(data)) <= FEW:
             return self.merged(data)
         half = len(data) // 2
         return self.joined(self.piece(data[:half]), self.piece(data[half:]))
