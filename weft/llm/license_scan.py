@@ -17,7 +17,6 @@ once; repeated rows get equal results; other columns, whatever their names, are
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -170,15 +169,21 @@ def matches(words: str) -> list[tuple[int, int, str, str, int]]:
 def suppressed(found: list[tuple[int, int, str, str, int]]) -> list[tuple[int, int, str, str, int]]:
     """Drops what lies inside a kept interval: taken by priority, then length, then position, each match is kept
     unless a kept one contains it."""
+    places = sorted({m[0] for m in found})
+    number = {at: i + 1 for i, at in enumerate(places)}
+    ends = [0] * (len(places) + 1)  # a Fenwick tree: the greatest end of kept matches by start
     kept: list[tuple[int, int, str, str, int]] = []
-    starts: list[int] = []
-    ends: list[int] = []
     for m in sorted(found, key=lambda m: (-m[4], m[0] - m[1], m[0], m[3])):
-        i = bisect_left(starts, m[0] + 1)
-        if i and max(ends[:i]) >= m[1]:
+        i, furthest = number[m[0]], 0
+        while i:
+            furthest = max(furthest, ends[i])
+            i &= i - 1
+        if furthest >= m[1]:
             continue
-        starts.insert(i, m[0])
-        ends.insert(i, m[1])
+        i = number[m[0]]
+        while i < len(ends):
+            ends[i] = max(ends[i], m[1])
+            i += i & -i
         kept.append(m)
     return sorted(kept)
 
