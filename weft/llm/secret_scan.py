@@ -12,8 +12,8 @@ that the caller has. Fitting on these few rows is done on the driver.
 
 Defined results: null and empty texts have no findings; a text of any length is handled in its own row; equal
 findings at different places are separate rows; repeated rows are scanned one by one; other columns, whatever their
-names, are carried along by redacted(). Characters U+E000 and U+E001 mark candidates; where a text holds them
-itself they read as U+FFFD, in redacted texts too.
+names, are carried along by redacted(). No part of a candidate or of its measures is cut: names, values and keys end
+only where their characters end, so that nothing of a masked value is left.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ DEPTH = 6
 THRESHOLD = 0.5
 LEFT, RIGHT = 40, 20
 MASK = "[SECRET]"
-_PARTS, _FOUND = "__weft_parts", "__weft_found"
+_PARTS, _SEGMENTS, _FOUND = "__weft_parts", "__weft_segments", "__weft_found"
 
 # Formats of known credentials, names that announce one, and how a value is assigned to such a name.
 KNOWN = [
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,20}PRIVATE KEY-----",
+    r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----",
     r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
     r"gh[pousr]_[A-Za-z0-9]{20,}+",
     r"glpat-[A-Za-z0-9_-]{20,}+",
@@ -49,11 +49,11 @@ KNOWN = [
     r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 ]
 NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth[_-]?key|credential|bearer"
-ASSIGN = rf"(?i:{NAMES})[A-Za-z_]{{0,16}}[\"']?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"']?"
+ASSIGN = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?(?i:{NAMES}))[A-Za-z0-9_-]++[\"']?[ \t]*+(?:=>|:=|[:=])[ \t]*+[\"']?"
 CANDIDATE = (
     "(?<![A-Za-z0-9_])(?:" + "|".join(KNOWN) + ")"
     rf"|{ASSIGN}[^\s\"',;<>(){{}}\[\]]{{6,}}+"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{20,}+"
+    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 )
 BAD_WORDS = r"commit|sha-?\d*|md5|checksum|digest|revision|uuid|guid|integrity|etag|example|sample|dummy|placeholder|order|invoice|isbn|phone|card|hash|version|build|image|color"
 HOLDERS = r"example|change_?me|your|dummy|placeholder|xxxx|12345|sample|foobar|todo|none|null|redacted|\*\*\*"
@@ -102,7 +102,7 @@ def measured(c: Column) -> Column:
         _ratio(value, "[a-z]").alias("lowers"),
         _ratio(value, "[^0-9A-Za-z]").alias("symbols"),
         _ratio(value, "(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])").alias("turns"),
-        (F.size(F.array_distinct(F.split(F.left(value, F.lit(256)), ""))) / F.greatest(F.length(value), F.lit(1))).alias("distinct"),
+        (F.size(F.array_distinct(F.split(value, ""))) / F.greatest(F.length(value), F.lit(1))).alias("distinct"),
         flag(value.rlike("^[0-9a-fA-F]+$")).alias("hex"),
         (1 - F.length(F.regexp_replace(lower, whole, "")) / F.greatest(F.length(value), F.lit(1))).alias("words"),
         flag(value.rlike(r"[/\\].*[/\\]|\.(?:com|org|net|html?|js|css|png|jpe?g|py|java)\b") | c["left"].rlike(r"[/\\.@]$") | c["right"].rlike(r"^[/\\@]|^\.[a-z]")).alias("path"),
@@ -243,26 +243,27 @@ def trained(spark: SparkSession, findings: list[tuple[str, str, str, int]] | Non
 
 
 def scanned(df: DataFrame, trees: list, text: str = "text") -> DataFrame:
-    """df with its text cut at candidates, and an array of structs (i, segment, value, p) of them; both null without."""
-    t = F.translate(F.col(text), "\ue000\ue001", "\ufffd\ufffd")
-    cut = F.split(F.regexp_replace(t, f"({CANDIDATE})", "\ue000$1\ue001"), "[\ue000\ue001]")
-    df = df.withColumn(_PARTS, F.when(F.col(text).rlike(CANDIDATE), cut))
-    parts = F.col(_PARTS)
+    """df with the parts of its text between candidates, the candidates, and an array of structs (i, segment, value, p)
+    of them; all null without candidates."""
+    t = F.col(text)
+    some = t.rlike(CANDIDATE)
+    df = df.withColumns({_PARTS: F.when(some, F.split(t, CANDIDATE)), _SEGMENTS: F.when(some, F.regexp_extract_all(t, F.lit(f"({CANDIDATE})"), F.lit(0)))})
+    parts, segments = F.col(_PARTS), F.col(_SEGMENTS)
 
-    def candidate(i: Column) -> Column:
-        return F.struct(i.alias("i"), parts[i].alias("segment"), F.right(parts[i - 1], F.lit(LEFT)).alias("left"), F.left(parts[i + 1], F.lit(RIGHT)).alias("right"))
+    def candidate(segment: Column, i: Column) -> Column:
+        return F.struct(i.alias("i"), segment.alias("segment"), F.right(parts[i], F.lit(LEFT)).alias("left"), F.left(parts[i + 1], F.lit(RIGHT)).alias("right"))
 
-    at = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
-    found = F.transform(F.transform(F.transform(at, candidate), measured), lambda f: F.struct(f["i"].alias("i"), f["segment"].alias("segment"), f["value"].alias("value"), f["known"].alias("known"), probability(trees, f).alias("p")))
-    return df.withColumn(_FOUND, F.when(parts.isNotNull(), found))
+    found = F.transform(F.transform(F.transform(segments, candidate), measured), lambda f: F.struct(f["i"].alias("i"), f["segment"].alias("segment"), f["value"].alias("value"), f["known"].alias("known"), probability(trees, f).alias("p")))
+    return df.withColumn(_FOUND, found)
 
 
 def findings(df: DataFrame, trees: list, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, start, end, kind, value_sha256, masked, probability, is_secret): one row for each candidate."""
     rows = scanned(df.select(F.col(key).alias("k"), F.col(text).alias("t")), trees, "t").where(F.col(_FOUND).isNotNull())
-    parts = F.col(_PARTS)
-    # what stands before the candidate's value: all parts before it, and the name that it is assigned to
-    spans = F.transform(F.col(_FOUND), lambda f: F.struct(f.alias("f"), (F.length(F.array_join(F.slice(parts, F.lit(1), f["i"]), "")) + F.length(f["segment"]) - F.length(f["value"])).alias("start")))
+    # what stands before the candidate's value: the parts and candidates before it, and the name that it is assigned to
+    lengths = F.zip_with(_PARTS, _SEGMENTS, lambda p, s: F.length(p) + F.coalesce(F.length(s), F.lit(0)))
+    ends = lambda f: F.aggregate(F.slice(lengths, F.lit(1), f["i"] + 1), F.lit(0), lambda n, x: n + x)
+    spans = F.transform(F.col(_FOUND), lambda f: F.struct(f.alias("f"), (ends(f) - F.length(f["value"])).alias("start")))
     rows = rows.select("k", F.explode(spans).alias("r")).select("k", F.col("r.start").alias("start"), "r.f.*")
     return rows.select(
         F.col("k").alias(key),
@@ -279,11 +280,8 @@ def findings(df: DataFrame, trees: list, key: str = "doc_id", text: str = "text"
 def redacted(df: DataFrame, trees: list, text: str = "text", threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
     """df with the values of secrets in its text replaced by the mask; texts without secrets stay as they are."""
     rows = scanned(df, trees, text)
-    found, parts = F.col(_FOUND), F.col(_PARTS)
-    hit = F.filter(found, lambda f: f["p"] >= threshold)
-    piece = lambda p, i: F.when(
-        (i % 2 == 1) & (F.try_element_at(found, F.shiftright(i + 1, 1))["p"] >= threshold),
-        F.concat(F.left(p, F.length(p) - F.length(F.try_element_at(found, F.shiftright(i + 1, 1))["value"])), F.lit(mask)),
-    ).otherwise(p)
-    clean = F.when(F.coalesce(F.size(hit), F.lit(0)) > 0, F.array_join(F.transform(parts, piece), "")).otherwise(F.col(text))
-    return rows.withColumn(text, clean).drop(_PARTS, _FOUND)
+    clean = F.transform(
+        F.col(_FOUND), lambda f: F.when(f["p"] >= threshold, F.concat(F.left(f["segment"], F.length(f["segment"]) - F.length(f["value"])), F.lit(mask))).otherwise(f["segment"])
+    )
+    whole = F.array_join(F.zip_with(_PARTS, clean, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    return rows.withColumn(text, F.when(F.exists(_FOUND, lambda f: f["p"] >= threshold), whole).otherwise(F.col(text))).drop(_PARTS, _SEGMENTS, _FOUND)
