@@ -175,3 +175,92 @@ def test_secrets_of_any_length_are_whole(spark):
         assert got[i]["value_sha256"] == hashlib.sha256(v.encode()).hexdigest()
     clean = {x["doc_id"]: x["text"] for x in secret_scan.redacted(df, trees).collect()}
     assert clean == {i: f"{before}{secret_scan.MASK} end" for i, (before, _) in enumerate(values)}
+
+
+def test_bpe_long_runs_in_time():
+    import time
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own, r = bpe.loaded(path, public_tokenizers.PATTERN), random.Random(4)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    for chars in ("=", "1", "\n", "=-", "ab", "é日", "abcdefghij", "0123456789"):
+        for n in (257, 700, 5000):
+            t = "".join(r.choice(chars) for _ in range(n))
+            assert own.encode(t) == enc.encode_ordinary(t)
+    began = time.time()
+    for c in "=1\n":
+        assert own.decode(own.encode(c * 1_000_000)) == c.encode() * 1_000_000
+    assert time.time() - began < 60
+
+
+def test_license_many_matches_in_time_and_as_brute_force():
+    import time
+
+    r = random.Random(6)
+    for _ in range(200):
+        found = [(a := r.randrange(40), a + r.randrange(1, 12), "l", f"r{i}", r.randrange(4)) for i in range(r.randrange(30))]
+        kept = []
+        for m in sorted(found, key=lambda m: (-m[4], m[0] - m[1], m[0], m[3])):
+            if not any(k[0] <= m[0] and m[1] <= k[1] for k in kept):
+                kept.append(m)
+        assert license_scan.suppressed(found) == sorted(kept)
+    began = time.time()
+    license_scan.scan("gnu general public license version 2 and mit license or apache license " * 30_000)
+    assert time.time() - began < 30
+
+
+PAGES = [
+    # several articles under one main, a lead outside of them, class words on a paragraph, comments inside
+    ("<main><p>" + "lead " * 30 + "</p><article><h1>First</h1><p class='share-price notice'>" + "price " * 30 + "</p><div class='comments'><p>" + "nice " * 30
+     + "</p></div></article><article><p>" + "second " * 30 + "</p></article></main><footer>" + "foot " * 40 + "</footer>",
+     ["lead " * 30, "First", "price " * 30, "second " * 30]),
+    # a main article and small teasers of other ones: the clusters choose
+    ("<article><h2>Story</h2><p>" + "long " * 200 + "</p><p>" + "more " * 150 + "</p></article><article><a href=a>Other</a></article><article><a href=b>Third story</a></article>",
+     ["Story", "long " * 200, "more " * 150]),
+    # no article at all: the run of clustered lines, without lists of links
+    ("<div><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div><div><p>" + "text " * 60 + "</p><p>Short.</p><p>" + "tail " * 60 + "</p></div><div><a href=c>Next page</a></div>",
+     ["text " * 60, "Short.", "tail " * 60]),
+    # lists of links inside the article go where no cluster holds them
+    ("<article><p>" + "body " * 80 + "</p><p>" + "more " * 80 + "</p>" + "".join(f"<div><a href=x{i}>See also {i}</a></div>" for i in range(8)) + "</article>", ["body " * 80, "more " * 80]),
+]
+
+
+@pytest.mark.parametrize("page,want", PAGES)
+def test_html_labelled_pages(page, want):
+    assert html_extract.main_text(page) == "\n".join(x.strip() for x in want)
+
+
+def test_html_result_depends_on_ratios_smoothing_and_threshold():
+    lines = html_extract.page_lines(PAGES[2][0])
+    assert html_extract.content(lines) != html_extract.content(lines, threshold=5.0)
+    spread = html_extract.page_lines("<p>" + "a " * 300 + "</p>" + "<p>x</p>" * 6 + "<p>" + "b " * 90 + "</p>")
+    assert html_extract.clustered(spread) != html_extract.clustered(spread, sigma=4.0)
+
+
+def test_html_odd_pages(spark):
+    import time
+
+    deep = "<p>" + "<b>" * 20_000 + "x" + "</i></u>" * 20_000
+    began = time.time()
+    assert html_extract.main_text(deep) == "x" and time.time() - began < 20
+    rows = [(1, None, "a"), (2, "", "b"), (3, "   ", "c"), (4, "<article><p>A</p></article>", "d"), (4, "<article><p>A</p></article>", "d"), (5, "<p>" + "word " * 200_000, "e")]
+    df = spark.createDataFrame(rows, "page_id int, html string, text string")
+    got = sorted((r["page_id"], r["out"]) for r in df.select("page_id", "text", html_extract.extracted(F.col("html")).alias("out")).collect())
+    assert [x for _, x in got[:5]] == ["", "", "", "A", "A"] and len(got[5][1]) == 5 * 200_000 - 1
+    assert df.where("false").select(html_extract.extracted(F.col("html"))).count() == 0
+
+
+def test_secrets_keep_nothing_of_long_values_and_other_characters(spark):
+    trees, r = secret_scan.trained(spark), random.Random(9)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    value = lambda n: "".join(r.choice(alnum) for _ in range(n))
+    values = [("token = \"", value(300)), ("db_password_of_the_main_server_in_production1      =      ", value(900)), ("api_key: ", value(50_000)), ("see ghp_", value(400))]
+    letters = "".join(c for c in value(300) if c.isalpha())[:120]
+    df = spark.createDataFrame([(i, f" a{b}{v}\"  end", "x") for i, (b, v) in enumerate(values)] + [(9, f"loose {letters}{value(60)} end", "x")], "doc_id int, text string, __x string")
+    clean = {x["doc_id"]: x["text"] for x in secret_scan.redacted(df, trees).collect()}
+    for i, (b, v) in enumerate(values):
+        assert all(v[j : j + 8] not in clean[i] for j in range(0, len(v) - 8, 97)) and clean[i].startswith(" a") and clean[i].endswith("\"  end")
+    found = {x["doc_id"]: (x["start"], x["end"]) for x in secret_scan.findings(df, trees).collect()}
+    assert found[9] == (6, 6 + len(letters) + 60)
