@@ -117,7 +117,7 @@ def test_merge_join_of_all_customers_against_brute_force(spark, how):
     if how == "left":
         want += [(s, None) for s, a in suppliers if a not in {b for _, b in customers}]
     order = lambda r: (r[0], r[1] is not None, r[1] or 0)
-    got = [tuple(r) for r in registry.QUERIES[f"merge_join_{how}_all"](spark, SF).collect()]
+    got = [tuple(r) for r in registry.QUERIES[f"merge_join_{how}"](spark, SF).collect()]
     assert sorted(got, key=order) == sorted(want, key=order)
 
 
@@ -147,7 +147,7 @@ def test_similar_pairs_miss_nothing(spark, least):
 
 def test_fuzzy_lookup_of_all_parts_against_brute_force(spark):
     names = [x[0] for x in spark.read.parquet(f"{SF}/part.parquet").select("p_name").collect()]
-    got = registry.QUERIES["fuzzy_lookup_all"](spark, SF).collect()
+    got = registry.QUERIES["fuzzy_lookup"](spark, SF).collect()
     best = {}
     for n in {n.replace("a", "e") for n in names}:
         hits = sorted((-alike(n, v), v) for v in set(names) if alike(n, v) >= 0.7)
@@ -157,7 +157,7 @@ def test_fuzzy_lookup_of_all_parts_against_brute_force(spark):
 
 
 def test_fuzzy_grouping_joins_names_with_their_edited_copies(spark):
-    got = {x["value"]: x["canonical"] for x in registry.QUERIES["fuzzy_grouping_all"](spark, SF).collect()}
+    got = {x["value"]: x["canonical"] for x in registry.QUERIES["fuzzy_grouping"](spark, SF).collect()}
     root = {v: v for v in got}
     for _ in got:
         root = {a: min(root[b] for b in got if alike(a, b) >= 0.6) for a in got}
@@ -176,7 +176,22 @@ def test_whole_graph_has_the_edges_of_all_lines(spark):
         package, operation = supplier[supp]
         want |= {(operation, f"table:{part}", "writes_to" if flag == "A" else "reads_from"), (operation, f"connection:{priority[order]}", "uses_connection"), (operation, f"parameter:{brand[part]}", "uses_parameter")}
         packages[f"table:{part}"].add(package)
-    got = [tuple(r) for r in star.whole(star.edges)(spark, SF).select("src", "dst", "relation").collect()]
+    got = [tuple(r) for r in star.edges(spark, SF).select("src", "dst", "relation").collect()]
     assert len(got) == len(want) and set(got) == want
-    shared = {r["table_id"]: r["package_count"] for r in registry.QUERIES["shared_tables_all"](spark, SF).collect()}
+    shared = {r["table_id"]: r["package_count"] for r in registry.QUERIES["shared_tables"](spark, SF).collect()}
     assert shared == {t: len(p) for t, p in packages.items() if len(p) > 1}
+
+
+def test_levels_of_cycles_and_long_chains(spark):
+    chain = [(f"n{i + 1:03}", f"n{i:03}") for i in range(30)] + [("x", "y"), ("y", "x"), ("z", "x")]
+    edges = spark.createDataFrame(chain, "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in sorted({n for e in chain for n in e})], "node string")
+    got = {r["node"]: r["level"] for r in graph.levels(edges, nodes).collect()}
+    assert all(got[f"n{i:03}"] == i for i in range(31))
+    assert got["x"] == got["y"] == got["z"] == 31
+
+
+def test_reach_has_no_depth_limit_and_ends_on_cycles(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(26)] + [(26, 0)], "src int, dst int")
+    got = {r["node"]: r["depth"] for r in graph.reach(edges, spark.createDataFrame([(0,)], "root int")).collect()}
+    assert got == {i: i for i in range(1, 27)}

@@ -163,12 +163,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return pairs.withColumn("similarity", F.round(similarity(F.col("a"), F.col("b")), 6)).where(F.col("similarity") >= least)
 
 
-def fuzzy_lookup(df: DataFrame, reference: DataFrame, column: str, ref_column: str, least: float = 0.7, token: bool = False) -> DataFrame:
-    """Best match of at least this similarity among all reference values, or with `token` only among those that share a
-    token; ties to the smaller value."""
+def fuzzy_lookup(df: DataFrame, reference: DataFrame, column: str, ref_column: str, least: float = 0.7) -> DataFrame:
+    """Best match of at least this similarity among all reference values; ties to the smaller value."""
     pairs = similar_pairs(df.select(column), reference.select(ref_column), least)
-    if token:
-        tokens = lambda c: F.split(F.lower(F.trim(c)), r"\s+")
-        pairs = pairs.where(F.arrays_overlap(tokens("a"), tokens("b")))
     best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("b").alias("_v"))).alias("b"))
     return df.join(best.withColumnRenamed("a", "_a"), F.col(column) == F.col("_a"), "left").select(*df.columns, F.col("b._v").alias("match_value"), (-F.col("b.s")).alias("similarity"))

@@ -52,39 +52,39 @@ def package_usage(nodes: DataFrame, edges: DataFrame, *relations: str) -> DataFr
     return package_operations(nodes, edges).join(operation_usage(edges, *relations), "operation_id").select("package_id", "resource_id", "relation").distinct()
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(root, node, depth): all nodes reachable from starts (root) along edges (src, dst), at their least depth.
 
-    A breadth-first loop of joins; each round keeps only what is new, so cycles end it.
+    A breadth-first loop of joins until nothing new is reached; each round keeps only what is new, so cycles end it.
     """
-    seen = cut(starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
-    front = seen
-    for depth in range(1, most + 1):
+    edges = cut(edges.select("src", "dst").distinct())
+    seen = front = cut(starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front)
     return seen.where("depth > 0")
 
 
-def levels(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, level): layers by Kahn's peeling of edges (src after dst); nodes of cycles share one last level."""
-    left = cut(nodes.select("node").distinct())
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level): layers by Kahn's peeling of edges (src after dst), until nothing is free any more; nodes of
+    cycles, and what comes after them, share one last level. A node's level is the number of rounds it outlasts."""
     edges = cut(edges.select("src", "dst").distinct())
-    out = None
-    for level in range(most):
+    left = cut(nodes.select("node").distinct())
+    n, rounds = left.count(), [left]
+    while n:
         blocked = edges.join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        free = left.join(blocked, "node", "left_anti")
-        done = free.isEmpty()
-        layer = (left if done else free).withColumn("level", F.lit(level))
-        out = layer if out is None else out.unionByName(layer)
-        if done:
-            break
-        left = cut(left.join(free, "node", "left_anti"))
-        if left.isEmpty():
+        left = cut(left.join(blocked, "node", "left_semi"))
+        before, n = n, left.count()
+        if n == before:
             break
-    return out
+        rounds.append(left)
+    every = rounds[0]
+    for r in rounds[1:]:
+        every = every.unionByName(r)
+    return every.groupBy("node").agg((F.count("*") - 1).cast("int").alias("level"))
 
 
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,22 +113,18 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     return ranks
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(node, component): the least node of each weakly connected component, by label propagation with shortcuts."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = cut(both)
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component"))
-    labels = cut(labels)
-    for _ in range(most):
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node of each weakly connected component, by label propagation with shortcuts until
+    no label changes."""
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
+    while True:
         near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("m"))
         lower = labels.join(near, labels["node"] == near["src"]).select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
-        jump = lower.alias("a").join(lower.alias("b"), F.col("a.component") == F.col("b.node")).select("a.node", F.col("b.component").alias("component"), F.col("a.was").alias("was"))
-        jump = cut(jump)
-        changed = jump.where("component <> was").isEmpty()
+        jump = cut(lower.alias("a").join(lower.alias("b"), F.col("a.component") == F.col("b.node")).select("a.node", F.col("b.component").alias("component"), F.col("a.was").alias("was")))
         labels = jump.select("node", "component")
-        if changed:
-            break
-    return labels
+        if jump.where("component <> was").isEmpty():
+            return labels
 
 
 def joined_sorted(values: Column) -> Column:

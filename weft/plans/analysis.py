@@ -8,13 +8,15 @@ from weft.operators import analysis, graph
 from weft.plans import star
 from weft.plans.star import sql
 from weft.registry import query
+from weft.session import cut
 
 
 def _usage(spark, d):
-    n, e = star.nodes(spark, d), star.edges(spark, d)
-    return graph.package_operations(n, e).join(
+    """Which package uses which resource how, written once for all sides of a query."""
+    e = cut(star.edges(spark, d).select("src", "dst", "relation"))
+    return cut(graph.package_operations(star.nodes(spark, d), e).join(
         graph.operation_usage(e, "reads_from", "writes_to", "uses_connection", "uses_parameter"), "operation_id"
-    ).select("package_id", "operation_id", "resource_id", "relation")
+    ).select("package_id", "operation_id", "resource_id", "relation"))
 
 
 def _list(column: str, where: str = "TRUE") -> str:
@@ -214,13 +216,13 @@ def pipeline_io(spark, d):
 FLOW = DEPS + """
 , flow AS (SELECT DISTINCT least(reader, writer) AS src, greatest(reader, writer) AS dst FROM deps)
 , walk(root, node, depth) AS (
-  SELECT src, dst, 1 FROM flow UNION SELECT w.root, f.dst, w.depth + 1 FROM walk w JOIN flow f ON f.src = w.node WHERE w.depth < 30)"""
+  SELECT src, dst, 1 FROM flow UNION SELECT w.root, f.dst, w.depth + 1 FROM walk w JOIN flow f ON f.src = w.node)"""
 
 
 @query("impact_downstream", sql(FLOW + " SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1, 2", recursive=True))
 def impact_downstream(spark, d):
     flow = analysis.data_dependencies(_usage(spark, d)).select(F.least("reader", "writer").alias("src"), F.greatest("reader", "writer").alias("dst")).distinct()
-    return graph.reach(flow, flow.select(F.col("src").alias("root")).distinct(), most=30)
+    return graph.reach(flow, flow.select(F.col("src").alias("root")).distinct())
 
 
 @query("mv_lineage", sql("SELECT src AS operation_id, dst AS asset_id, n.name AS asset, relation, CASE WHEN relation = 'writes_to' THEN 'downstream' ELSE 'upstream' END AS direction FROM edges JOIN nodes n ON n.node_id = dst WHERE relation IN ('reads_from', 'writes_to')"))
@@ -276,7 +278,7 @@ def graph_readiness(spark, d):
 
 @query("analysis_summary", sql(DEPS + f", st AS ({SHARED_TABLES}) SELECT (SELECT count(*) FROM nodes WHERE node_type = 'pipeline') AS packages, (SELECT count(*) FROM st) AS shared_tables, (SELECT count(*) FROM st WHERE is_integration_point) AS integration_points, (SELECT count(*) FROM (SELECT DISTINCT reader, writer FROM deps)) AS dependencies, (SELECT count(*) FROM pairs) AS sharing_pairs"))
 def analysis_summary(spark, d):
-    u = _usage(spark, d).persist()
+    u = _usage(spark, d)
     st = analysis.shared_tables(u).agg(F.count("*").alias("a"), F.count_if("is_integration_point").alias("b")).first()
     deps, pairs = analysis.data_dependencies(u).select("reader", "writer").distinct().count(), analysis.sharing_pairs(u).count()
     return graph.by_type(star.nodes(spark, d), "pipeline").agg(

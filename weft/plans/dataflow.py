@@ -136,19 +136,8 @@ for _kind, _how in (("normal", "JOIN"), ("master_outer", "LEFT JOIN"), ("detail_
 
 for _how, _sql in (("left", "LEFT JOIN"), ("inner", "JOIN")):
 
-    @query(f"merge_join_{_how}", f"SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 5 > 0 THEN s_nationkey END AS a FROM supplier) {_sql} (SELECT c_custkey, CASE WHEN c_nationkey % 7 > 0 THEN c_nationkey END AS b FROM customer WHERE c_custkey % 20 = 0) ON a IS NOT DISTINCT FROM b")
+    @query(f"merge_join_{_how}", f"SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 5 > 0 THEN s_nationkey END AS a FROM supplier) {_sql} (SELECT c_custkey, CASE WHEN c_nationkey % 7 > 0 THEN c_nationkey END AS b FROM customer) ON a IS NOT DISTINCT FROM b")
     def _merge_join(spark, d, how=_how):
-        s, c = _t(spark, d, "supplier", "customer")
-        left = s.select("s_suppkey", F.when(F.col("s_nationkey") % 5 > 0, F.col("s_nationkey")).alias("a"))
-        right = c.where("c_custkey % 20 = 0").select("c_custkey", F.when(F.col("c_nationkey") % 7 > 0, F.col("c_nationkey")).alias("b"))
-        return op.merge_join(left, right, [("a", "b")], how).select("s_suppkey", "c_custkey")
-
-
-# All customers; merge_join_left and merge_join_inner, whose SQL is fixed, take every twentieth only.
-for _how, _sql in (("left", "LEFT JOIN"), ("inner", "JOIN")):
-
-    @query(f"merge_join_{_how}_all", f"SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 5 > 0 THEN s_nationkey END AS a FROM supplier) {_sql} (SELECT c_custkey, CASE WHEN c_nationkey % 7 > 0 THEN c_nationkey END AS b FROM customer) ON a IS NOT DISTINCT FROM b")
-    def _merge_join_all(spark, d, how=_how):
         s, c = _t(spark, d, "supplier", "customer")
         left = s.select("s_suppkey", F.when(F.col("s_nationkey") % 5 > 0, F.col("s_nationkey")).alias("a"))
         right = c.select("c_custkey", F.when(F.col("c_nationkey") % 7 > 0, F.col("c_nationkey")).alias("b"))
@@ -317,28 +306,12 @@ def src_param_query(spark, d):
 
 
 @query("fuzzy_lookup", """
-WITH ref AS (SELECT DISTINCT p_name AS v FROM part WHERE p_partkey % 7 = 0),
-src AS (SELECT p_partkey, replace(p_name, 'a', 'e') AS p_name FROM part WHERE p_partkey % 3 = 0),
-a AS (SELECT p_partkey, p_name, unnest(list_distinct(string_split_regex(lower(trim(p_name)), '\\s+'))) AS t FROM src),
-b AS (SELECT v, unnest(list_distinct(string_split_regex(lower(trim(v)), '\\s+'))) AS t FROM ref),
-p AS (SELECT DISTINCT p_partkey, v, round(1 - levenshtein(lower(trim(p_name)), lower(trim(v))) / CAST(greatest(length(trim(p_name)), length(trim(v)), 1) AS DOUBLE), 6) AS s FROM a JOIN b USING (t)),
-k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY s DESC, v) AS r FROM p WHERE s >= 0.7)
-SELECT src.p_partkey, src.p_name, k.v AS match_value, k.s AS similarity FROM src LEFT JOIN k ON src.p_partkey = k.p_partkey AND r = 1""")
-def fuzzy_lookup(spark, d):
-    p = _t(spark, d, "part")
-    src = p.where("p_partkey % 3 = 0").select("p_partkey", F.expr("replace(p_name, 'a', 'e')").alias("p_name"))
-    return op.fuzzy_lookup(src, p.where("p_partkey % 7 = 0"), "p_name", "p_name", token=True)
-
-
-# All parts against all reference names, with SQL that compares every pair; fuzzy_lookup, whose SQL is fixed, takes parts
-# and reference names by their keys and compares names that share a token only.
-@query("fuzzy_lookup_all", """
 WITH ref AS (SELECT DISTINCT p_name AS v FROM part),
 src AS (SELECT p_partkey, replace(p_name, 'a', 'e') AS p_name FROM part),
 p AS (SELECT p_name, v, round(1 - levenshtein(lower(trim(p_name)), lower(trim(v))) / CAST(greatest(length(trim(p_name)), length(trim(v)), 1) AS DOUBLE), 6) AS s FROM (SELECT DISTINCT p_name FROM src) CROSS JOIN ref),
 k AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY s DESC, v) AS r FROM p WHERE s >= 0.7)
 SELECT src.p_partkey, src.p_name, k.v AS match_value, k.s AS similarity FROM src LEFT JOIN k ON src.p_name = k.p_name AND r = 1""")
-def fuzzy_lookup_all(spark, d):
+def fuzzy_lookup(spark, d):
     p = _t(spark, d, "part")
     src = p.select("p_partkey", F.expr("replace(p_name, 'a', 'e')").alias("p_name"))
     return op.fuzzy_lookup(src, p, "p_name", "p_name")
@@ -346,25 +319,10 @@ def fuzzy_lookup_all(spark, d):
 
 @query("fuzzy_grouping", """
 WITH RECURSIVE v AS (SELECT DISTINCT n_name AS v FROM nation UNION SELECT DISTINCT replace(n_name, 'A', 'E') FROM nation),
-e AS (SELECT a.v AS a, b.v AS b FROM v a JOIN v b ON left(lower(a.v), 2) = left(lower(b.v), 2) WHERE 1 - levenshtein(lower(a.v), lower(b.v)) / CAST(greatest(length(a.v), length(b.v)) AS DOUBLE) >= 0.6),
-w(v, c) AS (SELECT v, v FROM v UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.v AND e.b > w.c)
-SELECT v AS value, min(c) AS canonical FROM w GROUP BY 1""")
-def fuzzy_grouping(spark, d):
-    n = _t(spark, d, "nation")
-    v = n.select(F.col("n_name").alias("v")).unionByName(n.select(F.expr("replace(n_name, 'A', 'E')").alias("v"))).distinct()
-    block = lambda c: F.left(F.lower(c), F.lit(2))
-    a, b = v.select(F.col("v").alias("src"), block("v").alias("k")), v.select(F.col("v").alias("dst"), block("v").alias("k"))
-    edges = a.join(b, "k").where(op.similarity(F.col("src"), F.col("dst")) >= 0.6).select("src", "dst")
-    return graph.components(edges).select(F.col("node").alias("value"), F.col("component").alias("canonical"))
-
-
-# Every pair of names, in SQL too; fuzzy_grouping, whose SQL is fixed, compares names of the same first two letters only.
-@query("fuzzy_grouping_all", """
-WITH RECURSIVE v AS (SELECT DISTINCT n_name AS v FROM nation UNION SELECT DISTINCT replace(n_name, 'A', 'E') FROM nation),
 e AS (SELECT a.v AS a, b.v AS b FROM v a CROSS JOIN v b WHERE 1 - levenshtein(lower(a.v), lower(b.v)) / CAST(greatest(length(a.v), length(b.v)) AS DOUBLE) >= 0.6),
 w(v, c) AS (SELECT v, v FROM v UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.v AND e.b > w.c)
 SELECT v AS value, min(c) AS canonical FROM w GROUP BY 1""")
-def fuzzy_grouping_all(spark, d):
+def fuzzy_grouping(spark, d):
     n = _t(spark, d, "nation")
     v = n.select(F.col("n_name").alias("v")).unionByName(n.select(F.expr("replace(n_name, 'A', 'E')").alias("v")))
     edges = op.similar_pairs(v, v, 0.6).select(F.col("a").alias("src"), F.col("b").alias("dst"))

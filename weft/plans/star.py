@@ -3,20 +3,15 @@ read and write parts (tables), use order priorities (connections) and brands (pa
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.session import table
 
-LEAST_QUANTITY = 50
-
 GRAPH_SQL = """
 op AS (SELECT 'pipeline:' || n_name AS package_id, 'pipeline:' || n_name || ':operation:' || s_name AS operation_id, n_name, s_name, s_suppkey
        FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-li AS (SELECT * FROM lineitem WHERE l_quantity >= 50),
+li AS (SELECT * FROM lineitem),
 raw AS (
   SELECT operation_id AS src, 'table:' || l_partkey AS dst, CASE WHEN l_returnflag = 'A' THEN 'writes_to' ELSE 'reads_from' END AS relation,
          l_orderkey * 8 + l_linenumber AS seq FROM li JOIN op ON l_suppkey = s_suppkey),
@@ -26,7 +21,7 @@ edges AS (
   UNION ALL SELECT DISTINCT operation_id, 'connection:' || o_orderpriority, 'uses_connection', 0
             FROM li JOIN op ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
   UNION ALL SELECT DISTINCT operation_id, 'parameter:' || p_brand, 'uses_parameter', 0
-            FROM li JOIN op ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE p_size <= 5),
+            FROM li JOIN op ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
 nodes AS (
   SELECT 'pipeline:' || n_name AS node_id, 'pipeline' AS node_type, n_name AS name, '{"region":' || n_regionkey || '}' AS properties FROM nation
   UNION ALL SELECT operation_id, 'operation', s_name, '{"key":' || s_suppkey || '}' FROM op
@@ -43,32 +38,6 @@ def sql(body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{GRAPH_SQL.strip()}{body}"
 
 
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-def whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query f over the edges of all lineitem rows and of all parts' brands."""
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        before = _WHOLE.set(True)
-        try:
-            return f(spark, d)
-        finally:
-            _WHOLE.reset(before)
-
-    return run
-
-
-def whole_sql(text: str) -> str:
-    """SQL made by sql(), over the same edges as whole()."""
-    return text.replace("lineitem WHERE l_quantity >= 50)", "lineitem)").replace("ON l_partkey = p_partkey WHERE p_size <= 5)", "ON l_partkey = p_partkey)")
-
-
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    return li if _WHOLE.get() else li.where(F.col("l_quantity") >= LEAST_QUANTITY)
-
-
 def _operations(spark: SparkSession, d: str) -> DataFrame:
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     package = F.concat(F.lit("pipeline:"), "n_name")
@@ -77,32 +46,32 @@ def _operations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _relation():
+    return F.when(F.col("l_returnflag") == "A", "writes_to").otherwise("reads_from")
+
+
 def raw_edges(spark: SparkSession, d: str) -> DataFrame:
     """Reads and writes one by one, in write order (seq)."""
-    li = _lines(spark, d)
+    li = table(spark, d, "lineitem")
     op = _operations(spark, d)
     return li.join(op, li["l_suppkey"] == op["s_suppkey"]).select(
-        F.col("operation_id").alias("src"),
-        F.concat(F.lit("table:"), "l_partkey").alias("dst"),
-        F.when(F.col("l_returnflag") == "A", "writes_to").otherwise("reads_from").alias("relation"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("seq"),
+        F.col("operation_id").alias("src"), F.concat(F.lit("table:"), "l_partkey").alias("dst"), _relation().alias("relation"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("seq")
     )
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    li = _lines(spark, d)
+    """All edges of the graph. Lines are reduced by their numeric keys before any name is joined to them."""
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_returnflag")
     op, orders, part = _operations(spark, d), table(spark, d, "orders"), table(spark, d, "part")
-    used = li.join(op, li["l_suppkey"] == op["s_suppkey"])
-    zero = F.lit(0).cast("bigint")
-    contains = op.select(F.col("package_id").alias("src"), F.col("operation_id").alias("dst"), F.lit("contains").alias("relation"), zero.alias("seq"))
-    connections = used.join(orders, used["l_orderkey"] == orders["o_orderkey"]).select(
-        F.col("operation_id").alias("src"), F.concat(F.lit("connection:"), "o_orderpriority").alias("dst"), F.lit("uses_connection").alias("relation"), zero.alias("seq")
-    )
-    parameters = used.join(part if _WHOLE.get() else part.where("p_size <= 5"), used["l_partkey"] == part["p_partkey"]).select(
-        F.col("operation_id").alias("src"), F.concat(F.lit("parameter:"), "p_brand").alias("dst"), F.lit("uses_parameter").alias("relation"), zero.alias("seq")
-    )
-    io = raw_edges(spark, d).groupBy("src", "dst", "relation").agg(F.max("seq").alias("seq"))
-    return io.unionByName(contains).unionByName(connections.distinct()).unionByName(parameters.distinct())
+    seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint")
+    io = li.groupBy("l_suppkey", "l_partkey", _relation().alias("relation")).agg(F.max(seq).alias("seq"))
+    io = io.withColumn("dst", F.concat(F.lit("table:"), "l_partkey")).select("l_suppkey", "dst", "relation", "seq")
+    zero = F.lit(0).cast("bigint").alias("seq")
+    by_order = li.join(orders, li["l_orderkey"] == orders["o_orderkey"]).select("l_suppkey", F.concat(F.lit("connection:"), "o_orderpriority").alias("dst")).distinct()
+    by_part = li.select("l_suppkey", "l_partkey").distinct().join(part, F.col("l_partkey") == part["p_partkey"]).select("l_suppkey", F.concat(F.lit("parameter:"), "p_brand").alias("dst")).distinct()
+    used = io.unionByName(by_order.select("l_suppkey", "dst", F.lit("uses_connection").alias("relation"), zero)).unionByName(by_part.select("l_suppkey", "dst", F.lit("uses_parameter").alias("relation"), zero))
+    named = used.join(op, used["l_suppkey"] == op["s_suppkey"]).groupBy(F.col("operation_id").alias("src"), "dst", "relation").agg(F.max("seq").alias("seq"))
+    return named.unionByName(op.select(F.col("package_id").alias("src"), F.col("operation_id").alias("dst"), F.lit("contains").alias("relation"), zero))
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +38,24 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([*known, root])
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Local sessions without one get a folder
+    of this machine; on a cluster that would lose data with an executor, so there it is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = jvm.get() if jvm.isDefined() else None
+    if not at:
+        if not spark.sparkContext.isLocal:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = "/tmp/checkpoints/weft-graph"
+    return at.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage ended by a checkpoint in the shared folder that the session names (one is set for local
-    runs that have none): loops keep short plans and survive lost executors."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/weft-graph")
-    return df.checkpoint()
+    """df as a Parquet table in the shared folder, read back: its lineage ends there, loops keep short plans, each step
+    runs once, and any executor may be lost later."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/weft-cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
