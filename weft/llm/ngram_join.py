@@ -195,11 +195,14 @@ def _profiles(words: int):
     return run
 
 
-def _signed(words: int, num: int, den: int, partitions: int):
+def _signed(words: int, num: int, den: int, partitions: int, slice_: int, slices: int):
+    """Signatures of one slice of all signatures, by bits of their hash."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands = Bands(num, den, partitions)
         for b in batches:
             sigs = [signatures(shingles(t, words), bands) for t in b["t"]]
+            sigs = [x[(x >> 22 & 1023) % slices == slice_] for x in sigs] if slices > 1 else sigs
             if sigs:
                 yield pd.DataFrame({"v": np.repeat(b["row"].to_numpy(), [len(x) for x in sigs]), "sig": np.concatenate(sigs)})
 
@@ -307,6 +310,8 @@ class _Join:
 
     def __init__(self, rows: DataFrame, classes: DataFrame, words: int, num: int, den: int, partitions: int):
         self.rows, self.classes, self.words, self.num, self.den, self.partitions = rows, classes, words, num, den, partitions
+        # signatures grow with 1 - num / den; a slice holds about as many as a similarity of 0.9 asks for
+        self.slices = max(1, -(-10 * (den - num) // den))
         self.pairs_compared = 0
 
     def texts(self, wanted: DataFrame) -> DataFrame:
@@ -330,12 +335,21 @@ class _Join:
         dropped(near, sets)
         return edges
 
-    def links(self) -> DataFrame:
-        """Links (u, v) that connect whatever is linked."""
-        signed = self.texts(self.classes).mapInPandas(_signed(self.words, self.num, self.den, self.partitions), "v bigint, sig bigint")
+    def _met(self, i: int) -> DataFrame:
+        """(v, sig, c) of the signatures of a slice that c > 1 classes share. They are made twice, not stored: first for
+        the counts, then for the classes of those that count."""
+        signed = self.texts(self.classes).mapInPandas(_signed(self.words, self.num, self.den, self.partitions, i, self.slices), "v bigint, sig bigint")
         shared = written(signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "shared")
         met = written(signed.join(shared, "sig").select("v", "sig", "c"), "met")
         dropped(shared)
+        return met
+
+    def links(self) -> DataFrame:
+        """Links (u, v) that connect whatever is linked."""
+        slices = [self._met(i) for i in range(self.slices)]
+        met = slices[0]
+        for other in slices[1:]:
+            met = met.unionByName(other)
         each = met.where(F.col("c") <= FULL).groupBy("sig").agg(F.collect_list("v").alias("vs"))
         pair = "flatten(transform(vs, (a, i) -> transform(slice(vs, i + 2, size(vs)), b -> struct(greatest(a, b) AS x, least(a, b) AS y))))"
         pairs = each.select(F.explode(F.expr(pair)).alias("p")).select("p.x", "p.y").where("x <> y")
@@ -345,7 +359,7 @@ class _Join:
         rest = written(weak.join(needy, ["v", "band"]).select("v", "sig"), "rest")
         company = rest.groupBy("v").agg(F.count("*").alias("company"))
         stars = written(_stars(rest.join(company, "v"), "sig").unionByName(pairs).distinct(), "pairs")
-        dropped(met)
+        dropped(*slices)
         edges = self.compared(stars)
         dropped(stars)
         edges = self._settled(rest, edges)
