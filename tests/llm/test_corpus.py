@@ -185,3 +185,82 @@ def test_near_duplicates_with_repeated_and_missing_ids(spark):
     rest = Counter(got) - Counter(fixed)
     assert not Counter(fixed) - Counter(got)
     assert len(rest) == 1 and set(rest) < {(None, line("e")), (None, near("e"))} and sum(rest.values()) == 1
+
+
+@pytest.mark.parametrize("full", [2, 8])
+def test_ngram_join_in_weak_buckets_is_exact(spark, monkeypatch, full):
+    monkeypatch.setattr(ngram_join, "FULL", full)
+    monkeypatch.setattr(ngram_join, "LISTED", 0)
+    rows = near_copies(6) + near_copies(7)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    out = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), words=4, num=80)
+    assert {r[0]: (r[1], r[2]) for r in out.collect()} == brute(rows, 4, 80)
+
+
+def test_ngram_join_compares_few_pairs_of_a_large_group(spark, monkeypatch):
+    """3 m near copies of a text and m of an edited one: the pairs compared grow as the group, not as its square."""
+    r, counts = random.Random(11), {}
+    words = [f"w{i}" for i in range(400)]
+    base = [r.choice(words) for _ in range(200)]
+    edited = base[:90] + [f"p{i}" for i in range(16)] + base[106:]
+    compared = ngram_join._Join.compared
+    for m in (40, 160):
+        rows = []
+        for k in range(4 * m):
+            x = list(edited if k % 4 == 0 else base)
+            for _ in range(r.randrange(4)):
+                x[r.randrange(len(x))] = f"e{r.randrange(10**6)}"
+            rows.append((k, " ".join(x)))
+        counts[m] = 0
+
+        def counted(self, pairs, m=m):
+            counts[m] += pairs.count()
+            return compared(self, pairs)
+
+        monkeypatch.setattr(ngram_join._Join, "compared", counted)
+        out = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), words=5, num=80)
+        assert {x[0]: (x[1], x[2]) for x in out.collect()} == brute(rows, 5, 80)
+    assert counts[160] <= 8 * counts[40]
+
+
+def test_ngram_join_with_clashing_names_and_missing_keys(spark):
+    line = " ".join(f"a{i}" for i in range(40))
+    rows = [(3, line, 1, 2), (1, line + " z", 1, 2), (None, line, 1, 2), (None, "only one", 1, 2), (7, None, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int, row int")
+    out = sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.components(df, words=5, num=80).collect()), key=str)
+    assert out == sorted([(3, 1), (1, 1), (None, 1), (None, None), (7, 7)], key=str)
+
+
+def test_mixing_ignores_clashing_names_and_spans_blocks(spark):
+    rows = [(1, "a", 100_000, 9, 9), (2, "a", 0, 9, 9), (3, "a", 7, 9, 9), (3, "a", 7, 9, 9), (4, None, 500, 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, target long, shard long")
+    out = mixing.mixed(df).collect()
+    assert len(out) == 5 and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
+    by = {r["source"]: (sum(x["taken"] for x in out if x["source"] == r["source"]), r["target"]) for r in out}
+    assert all(abs(t - goal) <= mixing.BLOCK_WORDS for t, goal in by.values())
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as p
+
+    prose = "the members of the committee have written to the people of the city about this and that " * 3
+    secret = "db_password = \"k3jH8sPq0ZxW7vNd5TbYr2Lm\" and then some more words of the letter"
+    rows = [(1, prose, "en", "a", 1), (1, prose, "en", "a", 1), (2, None, "en", "a", 0), (3, "", "en", None, 0), (None, prose + secret, "en", "b", 5), (None, " ".join(f"x{i}" for i in range(90)), None, "b", 5)]
+    rows += [(10, "word " * 60_000, "en", "c", 1)]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, __weft_row string")
+    for name, stage in p.STAGES:
+        out = stage(spark, df, SF)
+        got = out.collect()
+        if name != "byte_bpe":
+            assert out.columns == df.columns
+        if name == "near_duplicates":
+            assert Counter(r["doc_id"] for r in got) == Counter([1, 2, 3, None, None, 10])
+        if name == "secret_scan":
+            assert len(got) == len(rows) and not any("k3jH8sPq" in (r["text"] or "") for r in got)
+            assert sum("[SECRET]" in (r["text"] or "") for r in got) == 1
+        if name == "mixing":
+            taken = Counter((r["doc_id"], r["text"]) for r in got)
+            assert all(n <= 4 for n in taken.values()) and not any(k[1] in (None, "") for k in taken)
+        if name == "byte_bpe":
+            assert len(got) == len(rows) and all(r["decodes"] for r in got)
+        stage(spark, df.where("false"), SF).collect()

@@ -264,3 +264,42 @@ def test_secrets_keep_nothing_of_long_values_and_other_characters(spark):
         assert all(v[j : j + 8] not in clean[i] for j in range(0, len(v) - 8, 97)) and clean[i].startswith(" a") and clean[i].endswith("\"  end")
     found = {x["doc_id"]: (x["start"], x["end"]) for x in secret_scan.findings(df, trees).collect()}
     assert found[9] == (6, 6 + len(letters) + 60)
+
+
+def test_quality_leaves_clashing_columns(spark, odd):
+    df = odd.withColumn("__weft_words", F.lit(7)).withColumn("___weft_words", F.lit(8))
+    out = quality_rules.judged(df, into="verdict")
+    assert set(out.columns) == {*df.columns, "verdict"}
+    assert {(r["_q"], r["__weft_words"], r["___weft_words"]) for r in out.collect()} == {(i, 7, 8) for i in range(len(ODD))}
+
+
+def test_toxicity_on_rows_left_out(spark):
+    d, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    caught = total = flagged = clean = 0
+    for part in (0, 1):
+        half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == part
+        model = toxicity.fit(toxicity.training_rows(d, labels.where(~half)))
+        for x in d.join(labels.where(half).select("doc_id", F.col("toxic").alias("label")), "doc_id").select("label", toxicity.graded(F.col("text"), model).alias("r")).collect():
+            total, clean = total + x["label"], clean + 1 - x["label"]
+            caught, flagged = caught + (x["label"] and x["r"]["toxic"]), flagged + (not x["label"] and x["r"]["toxic"])
+    print("held out:", caught, "of", total, "toxic,", flagged, "of", clean, "others")
+    assert caught > 0.75 * total and flagged < 0.01 * clean
+
+
+def test_all_queries_run_over_whole_tables(spark):
+    import duckdb
+
+    from weft.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    n = {t: table(spark, sf, t).count() for t in ("documents", "pages")}
+    for name, run in queries.QUERIES.items():
+        out = run(spark, sf).collect()
+        if name not in ("op3_nearest", "op6_secret_scan"):
+            assert len(out) == n["pages" if name == "op9_html_extraction" else "documents"]
+        if name in queries.ORACLE_SQL:
+            con = duckdb.connect()
+            con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+            want = con.execute(queries.ORACLE_SQL[name])
+            names = [c[0] for c in want.description]
+            assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r[c] for c in names)) for r in out)

@@ -151,8 +151,8 @@ def mixed(sized: DataFrame, key: str = "doc_id", pattern: tuple[int, ...] = PATT
     return run.select(F.col("k").alias(key), "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
-def copies(seed: int = SEED) -> Column:
-    """Whole copies of a document for its `taken` of `size` words: rounded up or down by a seeded draw on doc_id, so
+def copies(seed: int = SEED, key: str = "doc_id") -> Column:
+    """Whole copies of a document for its `taken` of `size` words: rounded up or down by a seeded draw on the key, so
     that the copies of a source add up to its taken words on average; 2 at most where taken is 2 times size at most."""
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed), F.lit(2)), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed), F.lit(2)), F.lit(1_000_000)) / 1_000_000
     return F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(0).cast("int")

@@ -5,8 +5,8 @@ compiled from: (name, numerator, denominator, lower bound, upper bound, least wo
 base rules hold and no row of the table rejects it. No user function runs anywhere.
 
 Defined results: null text has no words and no lines; a text without words fails the base rule and is not kept;
-repeated rows are judged one by one; other columns of the input, whatever their names, are carried along
-unread (the measures live in one struct column, so that names cannot clash).
+repeated rows are judged one by one; other columns of the input are carried along unread. The measures live in one
+struct column, `_q` or the name given as `into`, which replaces a column of that name; no other name clashes.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from .common import SPACE
 
-_WORDS, _LINES = "__weft_words", "__weft_lines"
 WINDOW_WORDS = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -82,8 +81,15 @@ def _repeat_words(windows: Column) -> Column:
     return F.transform(at, covered)[0]
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with a struct column `_q` of all counts; other columns are untouched."""
+def _free(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def measures(df: DataFrame, text: str = "text", into: str = "_q") -> DataFrame:
+    """df with a struct column of all counts; other columns are untouched."""
+    words_, lines_ = _free(df, "__weft_words"), _free(df, "__weft_lines")
     t = F.coalesce(F.col(text), F.lit(""))
     spaces = F.lit(" \t\n\x0b\x0c\r")
     trimmed = F.trim(t, spaces)
@@ -91,11 +97,11 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     # columns of their own, not fields of a struct: the optimizer would inline a struct's fields at each use
     df = df.withColumns(
         {
-            _WORDS: F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+")),
-            _LINES: F.filter(F.split(t, "\n"), lambda line: F.trim(line, spaces) != ""),
+            words_: F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+")),
+            lines_: F.filter(F.split(t, "\n"), lambda line: F.trim(line, spaces) != ""),
         }
     )
-    words, lines = F.col(_WORDS), F.col(_LINES)
+    words, lines = F.col(words_), F.col(lines_)
     h8 = F.transform(words, lambda w: F.xxhash64(w))
     for step in (1, 2, 4):  # transform over a one-element array binds each array once
         h8 = F.transform(F.array(h8), _paired(step))[0]
@@ -104,7 +110,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         lambda a: F.when(F.size(F.array_distinct(a)) == F.size(a), F.lit(0).cast("bigint")).otherwise(_repeat_words(a)),
     )[0]
     return df.withColumn(
-        "_q",
+        into,
         F.struct(
             F.size(words).cast("bigint").alias("n_words"),
             F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
@@ -116,13 +122,13 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
             F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("bigint").alias("n_ellipsis_lines"),
             F.size(F.filter(words, lambda w: F.lower(F.rtrim(w, F.lit(",.;:!?"))).isin(stops))).cast("bigint").alias("n_stop_words"),
         ),
-    ).drop(_WORDS, _LINES)
+    ).drop(words_, lines_)
 
 
-def judged(df: DataFrame, text: str = "text", rules: list = RULES) -> DataFrame:
-    """df with `_q` (counts, base_failed, kept and one boolean reject_<rule> for each row of the table)."""
-    df = measures(df, text)
-    q = {k: F.col(f"_q.{k}") for k in df.schema["_q"].dataType.names}
+def judged(df: DataFrame, text: str = "text", rules: list = RULES, into: str = "_q") -> DataFrame:
+    """df with a struct column (counts, base_failed, kept and one boolean reject_<rule> for each row of the table)."""
+    df = measures(df, text, into)
+    q = {k: F.col(into)[k] for k in df.schema[into].dataType.names}
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
     rejects = []
     for name, up, down, least, most, words in rules:
@@ -136,4 +142,4 @@ def judged(df: DataFrame, text: str = "text", rules: list = RULES) -> DataFrame:
     verdict = ~failed
     for r in rejects:
         verdict = verdict & ~r
-    return df.withColumn("_q", F.struct(*[c.alias(k) for k, c in q.items()], failed.alias("base_failed"), verdict.alias("kept"), *rejects))
+    return df.withColumn(into, F.struct(*[c.alias(k) for k, c in q.items()], failed.alias("base_failed"), verdict.alias("kept"), *rejects))

@@ -7,7 +7,8 @@ inflected forms) of the learned vocabulary, the logarithm of one plus its count,
 hold any and of their rate (in hundredths). All features are evidence for severity, so weights are kept at 0 or more.
 
 Labels say toxic or not; grades above 0 are set from the number of such words in a toxic text (terciles of
-the training sample), which is what severity means here. The vocabulary holds the words whose share among toxic
+the training sample), which is what severity means here: the labels hold no
+severity of their own, so the grades above 0 order toxic texts by the amount of evidence that the features count too. The vocabulary holds the words whose share among toxic
 texts exceeds that among others by most (a smoothed log odds of MIN_ODDS at least, in MIN_SHARE of the toxic texts at least).
 Training takes a bounded sample (SAMPLE_ROWS rows of each label, texts of up to TRAIN_CHARS characters) to the
 driver; prediction reads whole texts. The flag's threshold is the middle between both labels' expected severities on
@@ -30,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import local_rows
+
 GRADES = 4
 SAMPLE_ROWS = 2500
 TRAIN_CHARS = 30_000
@@ -183,7 +186,8 @@ def fit(rows: list[tuple[int, str]]) -> Model:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[int, str]]:
-    """The bounded sample: labelled keys chosen by hash, as many of each label as SAMPLE_ROWS says, then their texts."""
+    """The bounded sample: labelled keys chosen by hash, as many of each label as SAMPLE_ROWS says, then their texts.
+    Only keys and labels are shuffled; the chosen keys are few, and the planner sees that."""
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     marked = marked.groupBy("k").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
@@ -191,9 +195,10 @@ def training_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
     share = F.lit(0)
     for y, n in counts.items():
         share = F.when(F.col("y") == y, int(1_000_000 * min(1.0, SAMPLE_ROWS / n)) + 1).otherwise(share)
-    chosen = marked.where(draw < share).select("k", "y", draw.alias("d"))
-    texts = documents.where(F.col(text).isNotNull() & (F.length(text) <= TRAIN_CHARS)).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    picked = texts.join(chosen.hint("shuffle_hash"), "k").limit(4 * SAMPLE_ROWS).select("y", "t", "d", "k").collect()
+    keys = marked.where(draw < share).select(F.col("k").cast("string").alias("k"), "y", draw.alias("d")).limit(4 * SAMPLE_ROWS).collect()
+    chosen = local_rows(documents.sparkSession, [tuple(r) for r in keys], "k string, y int, d bigint")
+    texts = documents.where(F.col(text).isNotNull() & (F.length(text) <= TRAIN_CHARS)).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
+    picked = texts.join(chosen, "k").limit(4 * SAMPLE_ROWS).select("y", "t", "d", "k").collect()
     return [(r["y"], r["t"]) for r in sorted(picked, key=lambda r: (r["d"], r["k"], r["t"]))]
 
 
