@@ -15,7 +15,8 @@ from weft.llm.common import small_batches, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised, `lang` set to it; rejected ones go."""
+    """Documents whose language is recognised, `lang` set to it; rejected ones (null and letterless texts too) go. Without
+    any labelled row nothing can be recognised, and all go."""
     small_batches(spark)
     model = language_id.fit(language_id.training_rows(docs))
     rows = docs.withColumn("__weft_lang", language_id.predicted(F.col("text"), model)).where(~F.col("__weft_lang.rejected"))
@@ -29,21 +30,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, the secrets in their texts masked."""
+    """All documents, the secrets in their texts masked; null and empty texts stay as they are."""
     rows = secret_scan.redacted(docs, secret_scan.trained(spark))
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it: not at all, once or twice."""
-    mix = mixing.mixed(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size")))
-    times = mix.select(F.col("doc_id").alias("__weft_id"), mixing.copies().alias("n")).groupBy("__weft_id").agg(F.max("n").alias("n")).where("n > 0")
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__weft_id")))
-    return rows.withColumn("__weft_copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*docs.columns)
+    """Each document as often as the mix of sources takes it: not at all, once or twice. Documents are told apart by
+    doc_id and text, so that missing or repeated ids get draws of their own; rows equal in both count as one, and
+    texts without words go."""
+    key = F.concat_ws(":", "doc_id", F.xxhash64("text"))
+    one = docs.select(key.alias("__weft_key"), "source", mixing.words(F.col("text")).alias("size")).dropDuplicates(["__weft_key"])
+    mix = mixing.mixed(one, key="__weft_key")
+    times = mix.select("__weft_key", mixing.copies(key="__weft_key").alias("__weft_n")).where("__weft_n > 0")
+    rows = docs.select(*docs.columns, key.alias("__weft_key")).join(times, "__weft_key")
+    return rows.withColumn("__weft_copy", F.explode(F.sequence(F.lit(1), F.col("__weft_n")))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, decoded again as a check."""
+    """Token ids of each document, decoded again as a check; a null text has none."""
     small_batches(spark, 200)
     t = bpe.tokenised(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return docs.select("doc_id", "lang", "source", t.alias("t")).select("doc_id", "lang", "source", "t.n_tokens", "t.decodes", F.col("t.ids").alias("token_ids"))
