@@ -39,7 +39,10 @@ CATEGORIES = {
     "binary": "binary varbinary image",
     "boolean": "boolean",
 }
-UNORDERED = "text ntext image xml json".split()
+UNINDEXED = "text ntext image xml json".split()
+UNSORTED = "image xml json".split()
+DEFAULT_PLATFORMS = PLATFORMS[:4]
+LONG = 8000
 
 
 def canonical(native: Column) -> Column:
@@ -49,14 +52,18 @@ def canonical(native: Column) -> Column:
 
 
 def category(kind: Column) -> Column:
-    out = F.lit("other")
+    out = F.lit("special")
     for name, kinds in CATEGORIES.items():
         out = F.when(kind.isin(*kinds.split()), name).otherwise(out)
     return out
 
 
 def indexable(kind: Column) -> Column:
-    return ~kind.isin(*UNORDERED)
+    return ~kind.isin(*UNINDEXED)
+
+
+def sortable(kind: Column) -> Column:
+    return ~kind.isin(*UNSORTED)
 
 
 def risk(source: Column, target: Column) -> Column:
@@ -73,6 +80,20 @@ def target_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "canonical string, platform string, template string")
 
 
+def confidence(kind: Column, length: Column) -> Column:
+    """1, or the least that applies: unknown type 0.3, type without a mapping 0.5, very long column 0.8."""
+    short = F.when(length > LONG, 0.8).otherwise(1.0)
+    return F.when(kind == "unknown", 0.3).when(~kind.isin(*TARGETS), 0.5).otherwise(short)
+
+
+def issues(native: Column, kind: Column, length: Column, platforms: list[str] = DEFAULT_PLATFORMS) -> Column:
+    """What may go wrong with a column of this type on the platforms, as an array of messages."""
+    missing = F.when(kind.isin(*TARGETS), F.array().cast("array<string>")).otherwise(F.array(*[F.lit(f"No mapping defined for {p}") for p in platforms]))
+    unknown = F.when(kind == "unknown", F.concat(F.lit("Unknown SSIS type: "), native))
+    long = F.when(length > LONG, F.lit("Large column length may require special handling"))
+    return F.concat(missing, F.array_compact(F.array(unknown, long)))
+
+
 def filled(template: Column, length: Column, precision: Column, scale: Column) -> Column:
     for name, value in (("length", length), ("precision", precision), ("scale", scale)):
         template = F.when(value.isNull(), template).otherwise(F.replace(template, F.lit("{%s}" % name), value.cast("string")))

@@ -12,7 +12,7 @@ from weft.session import table
 _KINDS = ["i4", "DT_I8", "wstr", "str", "dbTimeStamp", "numeric", "decimal", "bool", "geo"]
 _NATIVE = "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END"
 _CANON = "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN '{ty.SSIS.get(k.lower().removeprefix('dt_'), 'unknown')}'" for i, k in enumerate(_KINDS)) + " END"
-_CATEGORY = "CASE " + " ".join(f"WHEN c IN ({', '.join(repr(x) for x in v.split())}) THEN '{k}'" for k, v in ty.CATEGORIES.items()) + " ELSE 'other' END"
+_CATEGORY = "CASE " + " ".join(f"WHEN c IN ({', '.join(repr(x) for x in v.split())}) THEN '{k}'" for k, v in ty.CATEGORIES.items()) + " ELSE 'special' END"
 
 
 def _native(spark, d):
@@ -31,10 +31,28 @@ _TARGET_ROWS = ", ".join(f"('{c}', '{p}', '{x}')" for c, ts in ty.TARGETS.items(
 _TARGET_TABLE = f"(VALUES {_TARGET_ROWS}) AS tt(canonical, platform, template)"
 
 
-@query("type_targets", f"SELECT id, platform, replace(replace(replace(template, '{{length}}', CAST(p_size AS VARCHAR)), '{{precision}}', '18'), '{{scale}}', '0') AS target FROM (SELECT p_partkey AS id, p_size, {_CANON} AS c FROM part) JOIN {_TARGET_TABLE} ON c = tt.canonical")
+@query("type_targets", f"SELECT id, p.platform, coalesce(replace(replace(replace(template, '{{length}}', CAST(p_size AS VARCHAR)), '{{precision}}', '18'), '{{scale}}', '0'), 'unknown') AS target FROM (SELECT p_partkey AS id, p_size, {_CANON} AS c FROM part) CROSS JOIN (SELECT unnest([{', '.join(repr(x) for x in ty.PLATFORMS)}]) AS platform) p LEFT JOIN {_TARGET_TABLE} ON c = tt.canonical AND p.platform = tt.platform")
 def type_targets(spark, d):
-    n = _native(spark, d).withColumn("canonical", ty.canonical(F.col("native")))
-    return n.join(ty.target_table(spark), "canonical").select("id", "platform", ty.filled(F.col("template"), F.col("p_size"), F.lit(18), F.lit(0)).alias("target"))
+    n = _native(spark, d).withColumn("canonical", ty.canonical(F.col("native"))).withColumn("platform", F.explode(F.array(*[F.lit(p) for p in ty.PLATFORMS])))
+    found = n.join(ty.target_table(spark), ["canonical", "platform"], "left")
+    return found.select("id", "platform", F.coalesce(ty.filled(F.col("template"), F.col("p_size"), F.lit(18), F.lit(0)), F.lit("unknown")).alias("target"))
+
+
+_LENGTH = "p_size * 200"
+
+
+@query("type_enrichment", f"""SELECT id, native, c AS canonical, {_CATEGORY} AS category, c NOT IN ('image', 'xml', 'json') AS sortable,
+  CASE WHEN c = 'unknown' THEN 0.3 WHEN NOT m THEN 0.5 WHEN n > 8000 THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence,
+  array_to_string(list_concat(CASE WHEN m THEN [] ELSE [{', '.join(repr(f'No mapping defined for {p}') for p in ty.DEFAULT_PLATFORMS)}] END,
+    CASE WHEN c = 'unknown' THEN ['Unknown SSIS type: ' || native] ELSE [] END, CASE WHEN n > 8000 THEN ['Large column length may require special handling'] ELSE [] END), '; ') AS issues
+FROM (SELECT *, c IN ({', '.join(repr(x) for x in ty.TARGETS)}) AS m FROM (SELECT p_partkey AS id, {_NATIVE} AS native, {_CANON} AS c, {_LENGTH} AS n FROM part))""")
+def type_enrichment(spark, d):
+    n = _native(spark, d).withColumn("canonical", ty.canonical(F.col("native"))).withColumn("n", F.expr(_LENGTH))
+    kind, length = F.col("canonical"), F.col("n")
+    return n.select(
+        "id", "native", "canonical", ty.category(kind).alias("category"), ty.sortable(kind).alias("sortable"), ty.confidence(kind, length).alias("confidence"),
+        F.array_join(ty.issues(F.col("native"), kind, length), "; ").alias("issues"),
+    )
 
 
 @query("type_rule_sheet", f"SELECT * FROM {_TARGET_TABLE}")
