@@ -161,6 +161,11 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
+def digest(s: np.ndarray, i: int) -> int:
+    """A 64-bit digest of a set."""
+    return int(_mix(s + _ORDER[i]).sum(dtype=np.uint64).view(np.int64))
+
+
 def sketch(s: np.ndarray) -> bytes:
     """Parities of the features' hashes modulo a power of two, at least 64 and the set's size."""
     bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
@@ -187,8 +192,7 @@ def _profiles(words: int):
             rows = []
             for row, key, text in zip(b["row"], b["k"], b["t"]):
                 s = shingles(text, words)
-                d = np.array([_mix(s + _ORDER[14]).sum(dtype=np.uint64), _mix(s ^ _ORDER[15]).sum(dtype=np.uint64)], dtype=np.uint64).view(np.int64)
-                rows.append((row, key, len(s), d[0], d[1], sketch(s)))
+                rows.append((row, key, len(s), digest(s, 14), digest(s, 15), sketch(s)))
             frame = pd.DataFrame(rows, columns=["row", "k", "n", "d1", "d2", "sk"])
             yield frame.astype({"row": "int64", "k": "Int64", "n": "int64", "d1": "int64", "d2": "int64"})
 
@@ -201,10 +205,12 @@ def _signed(words: int, num: int, den: int, partitions: int, slice_: int, slices
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands = Bands(num, den, partitions)
         for b in batches:
-            sigs = [signatures(shingles(t, words), bands) for t in b["t"]]
+            sets = [shingles(t, words) for t in b["t"]]
+            sigs = [signatures(x, bands) if len(x) else x.view(np.int64) for x in sets]
             sigs = [x[(x >> 22 & 1023) % slices == slice_] for x in sigs] if slices > 1 else sigs
             if sigs:
-                yield pd.DataFrame({"v": np.repeat(b["row"].to_numpy(), [len(x) for x in sigs]), "sig": np.concatenate(sigs)})
+                digests = np.array([digest(x, 14) for x in sets], dtype=np.int64)
+                yield pd.DataFrame({"d1": np.repeat(digests, [len(x) for x in sigs]), "sig": np.concatenate(sigs)})
 
     return run
 
@@ -285,10 +291,9 @@ def _linked(num: int, den: int):
 
 
 def linked_components(edges: DataFrame) -> DataFrame:
-    """edges (u, v bigint) -> (v, component): large and small stars by turns until nothing changes."""
+    """edges (u, v bigint) -> (v, component): large and small stars by turns, until no smaller end has one itself."""
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
+    while not now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() or not now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -298,13 +303,18 @@ def linked_components(edges: DataFrame) -> DataFrame:
         after = written(step, "edges")
         dropped(now)
         now = after
-        r = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).collect()[0]
-        if (r["n"], r["h"]) == mark:
-            break
-        mark = (r["n"], r["h"])
     return now.select(F.col("u").alias("v"), F.col("v").alias("component"))
 
 
+def _relinked(label: DataFrame, found: DataFrame) -> DataFrame:
+    """The components after further links."""
+    if found.isEmpty():
+        return label
+    after = linked_components(label.select(F.col("v").alias("u"), F.col("component").alias("v")).unionByName(found))
+    dropped(label)
+    return after
+
+
 class _Join:
     """The join of the classes of rows (row, t): comparisons and the steps of the docstring."""
 
@@ -336,20 +346,25 @@ class _Join:
         return edges
 
     def _met(self, i: int) -> DataFrame:
-        """(v, sig, c) of the signatures of a slice that c > 1 classes share. They are made twice, not stored: first for
-        the counts, then for the classes of those that count."""
-        signed = self.texts(self.classes).mapInPandas(_signed(self.words, self.num, self.den, self.partitions, i, self.slices), "v bigint, sig bigint")
-        shared = written(signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "shared")
-        met = written(signed.join(shared, "sig").select("v", "sig", "c"), "met")
+        """(d1, sig) of the signatures of a slice that several classes share; a class goes by its digest here, so that
+        every row can sign where it lies, and copies fall together. Signatures are made twice, not stored: first to see
+        which are shared, then for the classes that share them."""
+        signed = self.rows.mapInPandas(_signed(self.words, self.num, self.den, self.partitions, i, self.slices), "d1 bigint, sig bigint")
+        ends = signed.groupBy("sig").agg(F.min("d1").alias("low"), F.max("d1").alias("high"))
+        shared = written(ends.where("low < high").select("sig"), "shared")
+        met = written(signed.join(shared, "sig").select("sig", "d1"), "met")
         dropped(shared)
         return met
 
-    def links(self) -> DataFrame:
-        """Links (u, v) that connect whatever is linked."""
+    def components(self) -> DataFrame:
+        """(v, component) of the classes that are linked to others."""
         slices = [self._met(i) for i in range(self.slices)]
         met = slices[0]
         for other in slices[1:]:
             met = met.unionByName(other)
+        met = met.distinct().join(self.classes.select("d1", "v"), "d1").select("v", "sig")
+        met = written(met.join(met.groupBy("sig").agg(F.count("*").alias("c")), "sig"), "met")
+        dropped(*slices)
         each = met.where(F.col("c") <= FULL).groupBy("sig").agg(F.collect_list("v").alias("vs"))
         pair = "flatten(transform(vs, (a, i) -> transform(slice(vs, i + 2, size(vs)), b -> struct(greatest(a, b) AS x, least(a, b) AS y))))"
         pairs = each.select(F.explode(F.expr(pair)).alias("p")).select("p.x", "p.y").where("x <> y")
@@ -359,16 +374,17 @@ class _Join:
         rest = written(weak.join(needy, ["v", "band"]).select("v", "sig"), "rest")
         company = rest.groupBy("v").agg(F.count("*").alias("company"))
         stars = written(_stars(rest.join(company, "v"), "sig").unionByName(pairs).distinct(), "pairs")
-        dropped(*slices)
+        dropped(met)
         edges = self.compared(stars)
         dropped(stars)
-        edges = self._settled(rest, edges)
+        label = linked_components(edges)
+        dropped(edges)
+        label = self._settled(rest, label)
         dropped(rest)
-        return edges
+        return label
 
-    def _settled(self, rest: DataFrame, edges: DataFrame) -> DataFrame:
-        """edges and the links between classes that share a weak bucket but no component (step 4)."""
-        label = linked_components(edges)
+    def _settled(self, rest: DataFrame, label: DataFrame) -> DataFrame:
+        """label after the links between classes that share a weak bucket but no component yet (step 4)."""
         open_ = _labelled(rest, label).groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
         several = rest.join(open_, "sig", "left_semi").select("v").distinct()
         features = written(self.texts(several).mapInPandas(_features(self.words), "v bigint, n bigint, e bigint"), "features")
@@ -386,14 +402,12 @@ class _Join:
             pairs = written(pairs.distinct(), "pairs")
             self.pairs_compared += pairs.count()
             found = self.compared(pairs)
-            edges = written(edges.unionByName(found), "links")
-            if not last:
-                label = linked_components(edges)
-                if pivoted is None:
-                    pivoted = self._pivoted(rest, listed, label)
+            label = _relinked(label, found)
+            if not last and pivoted is None:
+                pivoted = self._pivoted(rest, listed, label)
             dropped(listed, pairs, found)
         dropped(features)
-        return edges
+        return label
 
     def _pivoted(self, rest: DataFrame, listed: DataFrame, label: DataFrame) -> DataFrame:
         """(v, p, np, s, far, es): for each class near a leader, the pivot p of that leader's component, the class's
@@ -497,9 +511,8 @@ def row_components(rows: DataFrame, row: str, key: str, text: str, words: int, n
     profiles = written(rows.mapInPandas(_profiles(words), "row bigint, k bigint, n bigint, d1 bigint, d2 bigint, sk binary"), "profiles")
     order = F.struct(F.col("k").isNull().alias("none"), "k", "row")
     same = written(profiles.where("n > 0").groupBy("d1", "d2").agg(F.min(order).alias("least")).select("d1", "d2", F.col("least.row").alias("v"), "least"), "classes")
-    classes = written(profiles.select(F.col("row").alias("v"), "n", "sk").join(same.select("v"), "v", "left_semi"), "sketches")
-    edges = _Join(rows.select("row", "t"), classes, words, num, den, partitions).links()
-    label = written(linked_components(edges), "labels")
+    classes = written(profiles.select(F.col("row").alias("v"), "n", "sk").join(same.select("v", "d1"), "v"), "sketches")
+    label = _Join(rows.select("row", "t"), classes, words, num, den, partitions).components()
     member = _labelled(same, label)
     least = member.groupBy("c").agg(F.min("least").alias("first"))
     named = member.join(least, "c").select("d1", "d2", "first", F.lit(True).alias("set"))
@@ -507,7 +520,7 @@ def row_components(rows: DataFrame, row: str, key: str, text: str, words: int, n
     some = F.col("set").isNotNull() & (F.col("n") > 0)
     out = out.select("row", "k", "n", F.when(some, F.col("first.row")).otherwise(F.col("row")).alias("first"), F.when(some, F.col("first.k")).otherwise(F.col("k")).alias("name"))
     out = written(out, "components")
-    dropped(profiles, same, classes, edges, label)
+    dropped(profiles, same, classes, label)
     return out
 
 
