@@ -252,7 +252,7 @@ def test_pipeline_stages_on_odd_rows(spark):
         out = stage(spark, df, SF)
         got = out.collect()
         if name != "byte_bpe":
-            assert out.columns == df.columns
+            assert out.columns == df.columns and all(r["__weft_row"] == "extra" for r in got)
         if name == "near_duplicates":
             assert Counter(r["doc_id"] for r in got) == Counter([1, 2, 3, None, None, 10])
         if name == "secret_scan":

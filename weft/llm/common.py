@@ -75,6 +75,13 @@ def native_words(text):
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until df has no such column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, if they have that folder too. On a
     cluster without it the submitter ships the package (--py-files)."""

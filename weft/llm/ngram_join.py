@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, small_batches, written
+from .common import dropped, free, small_batches, written
 
 PARTITIONS = 3
 SPARED = 1
@@ -498,7 +498,7 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(label, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
 
 
-def numbered(docs: DataFrame, row: str = "__weft_row") -> DataFrame:
+def numbered(docs: DataFrame, row: str) -> DataFrame:
     """docs as a written table whose rows have numbers that stay."""
     return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
 
@@ -535,9 +535,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with the first row of each component alone, of the least key; rows without a shingle stay, copies of
     them (equal in key and text) but once."""
-    rows = numbered(docs)
-    found = row_components(rows, "__weft_row", key, text, words, num, den)
-    blank = rows.join(found.where("n = 0").select(F.col("row").alias("__weft_row")), "__weft_row", "left_semi")
-    blank = blank.groupBy(key, text).agg(F.min("__weft_row").alias("__weft_row")).select("__weft_row")
-    stay = found.where("n > 0 AND row = first").select(F.col("row").alias("__weft_row")).unionByName(blank)
-    return rows.join(stay, "__weft_row", "left_semi").select(*docs.columns)
+    row = free(docs, "__weft_row")
+    rows = numbered(docs, row)
+    found = row_components(rows, row, key, text, words, num, den)
+    blank = rows.join(found.where("n = 0").select(F.col("row").alias(row)), row, "left_semi")
+    blank = blank.groupBy(key, text).agg(F.min(row).alias(row)).select(row)
+    stay = found.where("n > 0 AND row = first").select(F.col("row").alias(row)).unionByName(blank)
+    return rows.join(stay, row, "left_semi").select(*docs.columns)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, free
 
 WINDOW_WORDS = 8
 MIN_WORDS = 20
@@ -81,15 +81,9 @@ def _repeat_words(windows: Column) -> Column:
     return F.transform(at, covered)[0]
 
 
-def _free(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name = f"_{name}"
-    return name
-
-
 def measures(df: DataFrame, text: str = "text", into: str = "_q") -> DataFrame:
     """df with a struct column of all counts; other columns are untouched."""
-    words_, lines_ = _free(df, "__weft_words"), _free(df, "__weft_lines")
+    words_, lines_ = free(df, "__weft_words"), free(df, "__weft_lines")
     t = F.coalesce(F.col(text), F.lit(""))
     spaces = F.lit(" \t\n\x0b\x0c\r")
     trimmed = F.trim(t, spaces)

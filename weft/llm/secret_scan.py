@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_rows
+from .common import free, local_rows
 
 FINDINGS = 3000
 TREES = 12
@@ -279,9 +279,11 @@ def findings(df: DataFrame, trees: list, key: str = "doc_id", text: str = "text"
 
 def redacted(df: DataFrame, trees: list, text: str = "text", threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
     """df with the values of secrets in its text replaced by the mask; texts without secrets stay as they are."""
-    rows = scanned(df, trees, text)
+    kept = {c: free(df, f"_{c}") for c in (_PARTS, _SEGMENTS, _FOUND) if c in df.columns}
+    columns = df.columns
+    rows = scanned(df.withColumnsRenamed(kept), trees, text)
     clean = F.transform(
         F.col(_FOUND), lambda f: F.when(f["p"] >= threshold, F.concat(F.left(f["segment"], F.length(f["segment"]) - F.length(f["value"])), F.lit(mask))).otherwise(f["segment"])
     )
     whole = F.array_join(F.zip_with(_PARTS, clean, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    return rows.withColumn(text, F.when(F.exists(_FOUND, lambda f: f["p"] >= threshold), whole).otherwise(F.col(text))).drop(_PARTS, _SEGMENTS, _FOUND)
+    return rows.withColumn(text, F.when(F.exists(_FOUND, lambda f: f["p"] >= threshold), whole).otherwise(F.col(text))).drop(_PARTS, _SEGMENTS, _FOUND).withColumnsRenamed({v: k for k, v in kept.items()}).select(*columns)
