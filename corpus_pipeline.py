@@ -19,8 +19,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     any labelled row nothing can be recognised, and all go."""
     small_batches(spark)
     model = language_id.fit(language_id.training_rows(docs))
-    rows = docs.withColumn("__weft_lang", language_id.predicted(F.col("text"), model)).where(~F.col("__weft_lang.rejected"))
-    return rows.withColumn("lang", F.col("__weft_lang.lang")).select(*docs.columns)
+    found = common.free(docs, "__weft_lang")
+    rows = docs.withColumn(found, language_id.predicted(F.col("text"), model)).where(~F.col(found)["rejected"])
+    return rows.withColumn("lang", F.col(found)["lang"]).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +40,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: not at all, once or twice. Documents are told apart by
     doc_id and text, so that missing or repeated ids get draws of their own; rows equal in both count as one, and
     texts without words go."""
-    key = F.concat_ws(":", "doc_id", F.xxhash64("text"))
-    one = docs.select(key.alias("__weft_key"), "source", mixing.words(F.col("text")).alias("size")).dropDuplicates(["__weft_key"])
-    mix = mixing.mixed(one, key="__weft_key")
-    times = mix.select("__weft_key", mixing.copies(key="__weft_key").alias("__weft_n")).where("__weft_n > 0")
-    rows = docs.select(*docs.columns, key.alias("__weft_key")).join(times, "__weft_key")
-    return rows.withColumn("__weft_copy", F.explode(F.sequence(F.lit(1), F.col("__weft_n")))).select(*docs.columns)
+    key, n, copy = (common.free(docs, f"__weft_{x}") for x in ("key", "n", "copy"))
+    both = F.concat_ws(":", "doc_id", F.xxhash64("text"))
+    one = docs.select(both.alias(key), "source", mixing.words(F.col("text")).alias("size")).dropDuplicates([key])
+    times = mixing.mixed(one, key=key).select(key, mixing.copies(key=key).alias(n)).where(F.col(n) > 0)
+    rows = docs.withColumn(key, both).join(times, key)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
