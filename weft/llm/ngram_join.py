@@ -323,9 +323,13 @@ class _Join:
         # signatures grow with 1 - num / den; a slice holds about as many as a similarity of 0.9 asks for
         self.slices = max(1, -(-10 * (den - num) // den))
         self.pairs_compared = 0
+        self.scratch: list[DataFrame] = []
 
     def texts(self, wanted: DataFrame) -> DataFrame:
-        return self.rows.join(wanted.select(F.col("v").alias("row")), "row", "left_semi")
+        """The rows of some classes. Their numbers are written first: the planner then knows whether they are few
+        enough to be sent to the texts, and shuffles texts only if they aren't."""
+        self.scratch.append(written(wanted.select(F.col("v").alias("row")), "wanted"))
+        return self.rows.join(self.scratch[-1], "row", "left_semi")
 
     def sketched(self, pairs: DataFrame, x: str, y: str) -> DataFrame:
         """pairs with the sizes a, b and the sketches sx, sy of x and y."""
@@ -380,7 +384,7 @@ class _Join:
         label = linked_components(edges)
         dropped(edges)
         label = self._settled(rest, label)
-        dropped(rest)
+        dropped(rest, *self.scratch)
         return label
 
     def _settled(self, rest: DataFrame, label: DataFrame) -> DataFrame:
