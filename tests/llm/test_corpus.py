@@ -223,6 +223,31 @@ def test_ngram_join_compares_few_pairs_of_a_large_group(spark, monkeypatch):
     assert counts[160] <= 8 * counts[40]
 
 
+def test_ngram_join_labels_classes_not_their_features(spark, monkeypatch):
+    """Each round joins components to a row for each class, and sketches only for the classes that it compares."""
+    monkeypatch.setattr(ngram_join, "FULL", 2)
+    monkeypatch.setattr(ngram_join, "LISTED", 0)
+    rows = [(i, t) for i, (_, t) in enumerate(near_copies(6))]
+    labelled, close, joined, sides = ngram_join._labelled, ngram_join._Join.sketched, [], []
+
+    def counted(some, label):
+        if "n" in some.columns:
+            joined.append(some.count())
+        return labelled(some, label)
+
+    def watched(self, pairs, x, y):
+        out = close(self, pairs, x, y)
+        sides.append((self.scratch[-1].count(), pairs.select(F.explode(F.array(x, y))).distinct().count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_labelled", counted)
+    monkeypatch.setattr(ngram_join._Join, "sketched", watched)
+    out = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), words=4, num=80)
+    assert {r[0]: (r[1], r[2]) for r in out.collect()} == brute(rows, 4, 80)
+    assert len(joined) > 1 and all(0 < n <= len(rows) for n in joined)
+    assert sides and all(a == b for a, b in sides)
+
+
 def test_ngram_join_with_clashing_names_and_missing_keys(spark):
     line = " ".join(f"a{i}" for i in range(40))
     rows = [(3, line, 1, 2), (1, line + " z", 1, 2), (None, line, 1, 2), (None, "only one", 1, 2), (7, None, 1, 2)]
