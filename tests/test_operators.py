@@ -121,6 +121,33 @@ def test_merge_join_of_all_customers_against_brute_force(spark, how):
     assert sorted(got, key=order) == sorted(want, key=order)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full_outer"])
+def test_merge_join_by_blocks_against_brute_force(spark, how):
+    r = random.Random(3)
+    side = lambda n, low: [(r.choice([None, *range(low, low + 5)]), r.choice([None, "x", "y"]), i) for i in range(n)]
+    left, right = side(90, 0), side(70, 2)
+    a = spark.createDataFrame(left, "k int, m string, v int").repartition(3)
+    b = spark.createDataFrame(right, "k int, n string, v int").repartition(2)
+    want = [x + y for x in left for y in right if x[:2] == y[:2]]
+    if how in ("left", "full_outer"):
+        want += [x + (None,) * 3 for x in left if x[:2] not in {y[:2] for y in right}]
+    if how in ("right", "full_outer"):
+        want += [(None,) * 3 + y for y in right if y[:2] not in {x[:2] for x in left}]
+    for most in (1, 4, 4096):
+        out = op.merge_join(a, b, [("k", "k"), ("m", "n")], how, most)
+        assert out.columns == ["k", "m", "v", "k", "n", "v"]
+        assert sorted(map(str, (tuple(x) for x in out.collect()))) == sorted(map(str, want))
+
+
+def test_merge_join_of_one_key_is_shared_by_tasks(spark):
+    a = spark.range(1000).select(F.lit(None).cast("int").alias("x"), "id")
+    b = spark.range(1000).select(F.lit(None).cast("int").alias("y"), F.col("id").alias("other"))
+    sizes = [r["count"] for r in op.merge_join(a, b, [("x", "y")], "left", 50).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1_000_000 and len(sizes) > 100 and max(sizes) < 40_000
+    none = op.merge_join(a.limit(0), b, [("x", "y")])
+    assert none.count() == 0
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
